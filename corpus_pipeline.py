@@ -1,11 +1,66 @@
-"""The corpus pipeline (stages follow as their operators land)."""
+"""The corpus pipeline: from documents to packed training sequences.
 
-STAGES = []
+Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame, which is written as
+Parquet in the shared folder and read again for the next one.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from linkwright.llm.common import fold, table
+from linkwright.llm.mixing import mix_sources
+from linkwright.llm.packing import pack_documents
+from linkwright.llm.pii import pseudonymise_documents
+from linkwright.llm.simhash import drop_near_duplicates
+from linkwright.llm.toxicity import fit_toxicity, score_toxicity
+from linkwright.plans.runtime import stash
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows scored 0.7 or more go; the examples are labelled rows outside the held-out fold."""
+    labelled = table(spark, sf_dir, "labels").where(~fold(3, 1)).select("doc_id", F.col("toxic").alias("label"))
+    model = fit_toxicity(docs, labelled)
+    return docs.where(score_toxicity(docs, model)["score"] < 0.7)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of every group of SimHash near-duplicates stays."""
+    return drop_near_duplicates(docs)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row stays, its personal data replaced."""
+    out = pseudonymise_documents(docs).drop("pii").select(*docs.columns)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows as often as the mix takes them."""
+    mixed = mix_sources(docs, carry=tuple(docs.columns)).where("repeats > 0")
+    return mixed.select("row", F.explode(F.sequence(F.lit(1), F.col("repeats")))).select("row.*")
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of each row goes."""
+    return pack_documents(docs)
+
+
+STAGES = [
+    ("toxicity", toxicity),
+    ("simhash_near_dedup", near_duplicates),
+    ("pii", personal_data),
+    ("mixing", mixing),
+    ("packing", packing),
+]
+
+#: Nearest neighbours, SimHash and the Feistel rounds have no SQL; the tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+        docs = stash(stage(spark, docs, sf_dir))
     return docs

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from linkwright.llm.common import fold, table
+from linkwright.llm.language_model import score_documents
 from linkwright.llm.licenses import scan_licenses
 from linkwright.llm.mixing import mix_sources
 from linkwright.llm.packing import pack_documents
@@ -20,6 +21,10 @@ def op1_telephony(spark, sf_dir):
     return telephony_documents(table(spark, sf_dir, "documents"))
 
 
+def op2_gru_language_model(spark, sf_dir):
+    return score_documents(table(spark, sf_dir, "documents"), ~fold(7, 2))
+
+
 def op3_best_fit_packing(spark, sf_dir):
     return pack_documents(table(spark, sf_dir, "documents"))
 
@@ -64,6 +69,7 @@ def op10_pii_feistel(spark, sf_dir):
 
 QUERIES = {
     "op1_telephony": op1_telephony,
+    "op2_gru_language_model": op2_gru_language_model,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_mix_sources": op4_mix_sources,
     "op5_quality_mil": op5_quality_mil,

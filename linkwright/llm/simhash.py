@@ -131,6 +131,16 @@ def simhash_links(distinct: DataFrame, max_bits: int = 3, blocks: int = 6, bucke
         paths = finer
 
 
+def _grouped(docs: DataFrame, words: int, max_bits: int, text: str, doc_id: str, bucket: int) -> tuple[DataFrame, DataFrame]:
+    """Rows as ``(doc_id, t, fp)``, t a hash of the text, and ``(fp, component, component_id)`` of every fingerprint."""
+    fps = stash(docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("t"), fingerprints(F.col(text), words).alias("fp")))
+    distinct = stash(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    nodes = stash(connected_components(simhash_links(distinct, max_bits, bucket=bucket)))
+    roots = distinct.join(nodes.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("component", "fp").alias("component"))
+    least = roots.groupBy("component").agg(F.min("rep").alias("component_id"))
+    return fps, stash(roots.join(least, "component").select("fp", "component", "component_id"))
+
+
 def simhash_components(docs: DataFrame, words: int = 3, max_bits: int = 3, text: str = "text", doc_id: str = "doc_id", bucket: int = BUCKET) -> DataFrame:
     """``(doc_id, fp, component_id)``: the smallest id reachable over links of at most ``max_bits``.
 
@@ -139,25 +149,21 @@ def simhash_components(docs: DataFrame, words: int = 3, max_bits: int = 3, text:
     empty one and links like any other; a null id takes the least id of its group, if any.
     Rows with equal ids stay rows of their own; other columns are ignored.
     """
-    fps = stash(docs.select(F.col(doc_id).alias("doc_id"), fingerprints(F.col(text), words).alias("fp")))
-    distinct = stash(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    links = simhash_links(distinct, max_bits, bucket=bucket)
-    nodes = stash(connected_components(links))
-    roots = distinct.join(nodes.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("component", "fp").alias("component"))
-    least = roots.groupBy("component").agg(F.min("rep").alias("component_id"))
-    table = stash(roots.join(least, "component").select("fp", "component_id"))
-    return fps.join(table, "fp").select("doc_id", "fp", "component_id")
+    fps, groups = _grouped(docs, words, max_bits, text, doc_id, bucket)
+    return fps.join(groups, "fp").select("doc_id", "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 3) -> DataFrame:
-    """Keep, of every component, the row with the least id (of equal ids, the least text); all columns stay.
+def drop_near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 3, bucket: int = BUCKET) -> DataFrame:
+    """Keep one row of every component, all its columns: the one with the least id (then the least text hash).
 
-    Rows without words link like any other, so one of them stays; rows with a null id are
-    kept only if their group has no id at all.
+    Rows without words link like any other, so one of them stays; a row with a null id stays
+    only if its whole group has none. Of rows equal in id and text the least stays.
     """
-    comp = simhash_components(docs, words, max_bits).where("doc_id is null or doc_id = component_id")
-    keep = comp.where("doc_id is not null").select("doc_id").distinct()
-    chosen = docs.join(keep, "doc_id", "left_semi")
-    order = F.struct(*[F.col(c) for c in sorted(docs.columns)])
-    once = chosen.groupBy("doc_id").agg(F.min(order).alias("r")).select(*[F.col("r")[c].alias(c) for c in docs.columns])
-    return once
+    fps, groups = _grouped(docs, words, max_bits, "text", "doc_id", bucket)
+    chosen = fps.join(groups, "fp").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "t")).alias("r"))
+    keep = chosen.select(F.col("r.doc_id").alias("_d"), F.col("r.t").alias("_t"))
+    hashed = F.xxhash64(docs["text"])
+    kept = docs.withColumn("_h", hashed).join(keep, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_t")), "left_semi")
+    rest = F.struct(*[F.col(c) for c in docs.columns if c != "doc_id"])
+    once = kept.groupBy("doc_id", "_h").agg(F.min(rest).alias("_r"))
+    return once.select(*[F.col(c) if c == "doc_id" else F.col("_r")[c].alias(c) for c in docs.columns])
