@@ -8,6 +8,7 @@ from linkwright.llm.common import fold, table
 from linkwright.llm.language_model import score_documents
 from linkwright.llm.licenses import scan_licenses
 from linkwright.llm.mixing import mix_sources
+from linkwright.llm.oracles import ORACLES
 from linkwright.llm.packing import pack_documents
 from linkwright.llm.pii import pseudonymise_documents
 from linkwright.llm.quality import quality_documents
@@ -80,4 +81,4 @@ QUERIES = {
     "op10_pii_feistel": op10_pii_feistel,
 }
 
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
