@@ -14,14 +14,14 @@ def _list(words) -> str:
 def _licenses(threshold: float = 0.9) -> str:
     word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     places = " UNION ALL ".join(
-        f"SELECT rid, unnest(list_filter(range(1, len(ws) - {len(p.split()) - 2}), lambda i: ws[i:i + {len(p.split()) - 1}] = {_list(p.split())})) - 1 AS at, '{label}' AS label FROM w" for p, label in PHRASES.items()
+        f"SELECT rid, unnest(list_filter(range(1, len(ws) - {len(p.split()) - 2}), lambda i: ws[i:i + {len(p.split()) - 1}] = {_list(p.split())})) - 1 AS pos, '{label}' AS label FROM w" for p, label in PHRASES.items()
     )
     templates = " UNION ALL ".join(f"SELECT '{label}' AS label, {_list(ws)} AS t" for label, ws in _template_sets(TEMPLATES))
     return f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') AS low FROM documents),
 w AS MATERIALIZED (SELECT rid, doc_id, regexp_extract_all(low, '{word}') AS ws FROM d),
 places AS ({places}),
-base AS (SELECT rid, count(*) AS n_base, min(at) AS first_word, max(at) AS last_word, list_sort(list(DISTINCT label)) AS labels FROM places GROUP BY rid),
+base AS (SELECT rid, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, list_sort(list(DISTINCT label)) AS labels FROM places GROUP BY rid),
 lines AS (SELECT rid, list_distinct(regexp_extract_all(unnest(string_split(low, chr(10))), '{word}')) AS own FROM d),
 templates AS ({templates}),
 found AS (SELECT rid, list(DISTINCT label) AS more, max(share) AS best FROM (SELECT rid, label, len(list_intersect(own, t)) / len(t) AS share FROM lines, templates) WHERE share >= {threshold} - 1e-9 GROUP BY rid)
