@@ -12,8 +12,8 @@ def spark():
 
     s = build_session(
         "tests",
-        "local[4]",
-        **{"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.driver.memory": "4g", "spark.driver.host": "127.0.0.1"},
+        f"local[{os.environ.get('TEST_CPUS', '4')}]",
+        **{"spark.sql.shuffle.partitions": "2", "spark.ui.enabled": "false", "spark.driver.memory": "4g", "spark.driver.host": "127.0.0.1"},
     )
     s.sparkContext.setLogLevel("ERROR")
     yield s
