@@ -10,7 +10,7 @@ import time
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
 HEADLINE = [
-    "q_normalize_text", "q_ngrams", "q_rarity_tfidf", "q_search_plain", "q_links_blocked", "q_dedup_documents", "q_exact_dedup", "q_containment_forward",
+    "q_normalize_text", "q_ngrams", "q_rarity_tfidf", "q_search_plain", "q_links_blocked", "q_dedup_documents", "q_exact_dedup",
     "q_embedding_links", "q_resolve_entities", "q_plan_frontier", "q_aip",
 ]
 
