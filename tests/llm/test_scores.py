@@ -191,3 +191,29 @@ def test_language_model_documents(small_lm):
     assert lm.score_documents(df.limit(0), train, head=4, width=2, shapes=2, hidden=4).count() == 0
     none = lm.score_documents(df, F.lit(False), head=4, width=2, shapes=2, hidden=4).collect()
     assert len(none) == len(texts) and all(math.isfinite(x["score"]) for x in none)
+
+
+def test_language_model_learns_from_every_training_word(make):
+    from pyspark.sql import functions as F
+
+    net, lex = lm.GRU(lexicon(), hidden=4, embed=3), lexicon()
+    for n in (1, 31, 33, 1000, 2077):
+        docs = [np.stack(lex.codes(["the"] * (n - 1) + [" "]), axis=1)]
+        assert net.train(docs, lex) == n
+    r = random.Random(6)
+    texts = [" ".join(r.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(1000)) for _ in range(300)]
+
+    def weights(texts):
+        blocks = make(texts).coalesce(1).withColumn("train", F.lit(True)).select("doc_id", "text", "train").mapInPandas(lm._blocks, "block long, docs binary")
+        counts = Counter(w for t in texts for w in [*t.split(), " "])
+        names = {w: i for i, w in enumerate(sorted(counts))}
+        lex = lm.Lexicon(names, 2, np.array([float(counts[w]) for w in names]), {}, np.array([0.0]), np.array([0.0]), sum(counts.values()), len(counts))
+        return lm.train_model(blocks, lex, hidden=4, rounds=1).p
+
+    before = weights(texts)
+    # of the 300,000 words a third used to be read in a round; whichever document changes, the weights must
+    for i in range(0, 300, 60):
+        other = [*texts]
+        other[i] = " ".join(sorted(texts[i].split()))
+        after = weights(other)
+        assert any(not np.array_equal(before[k], after[k]) for k in before), i
