@@ -73,18 +73,46 @@ def phrase_places(lowered: Column, n_words: Column, phrases: dict[str, str] | No
     }
 
 
-def _template_sets(templates: list[tuple[str, str]]) -> list[tuple[str, list[str]]]:
+def _template_words(text: str) -> list[str]:
     import re
 
-    lowered = [(label, "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)) for label, text in templates]
-    return [(label, sorted(set(re.findall(LICENSE_WORD, text)))) for label, text in lowered]
+    return re.findall(LICENSE_WORD, "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text))
+
+
+def _template_sets(templates: list[tuple[str, str]]) -> list[tuple[str, list[str]]]:
+    return [(label, sorted(set(_template_words(text)))) for label, text in templates]
+
+
+def _wrapped_matches(docs: DataFrame, table: DataFrame, vocab: Column, first_words: Column, block: str) -> DataFrame:
+    """``(doc_id, _t, label, block, containment)`` of runs of words across lines, the best of each template; ``block`` is null.
+
+    A text in question has enough of the template's words at all. A run that matches holds one
+    of the template's first words (prefix filter), so only runs of ``span`` words around these
+    are looked at, and only where the words within reach suffice.
+    """
+    several = docs.where((F.instr("lowered", block) > 0) & F.arrays_overlap("words", first_words))
+    own = several.select("doc_id", "_t", "words", F.array_intersect("words", vocab).alias("own"))
+    some = own.join(F.broadcast(table), F.size(F.array_intersect("own", "texts")) >= F.col("need"))
+    places = F.filter(F.transform("words", lambda w, i: F.when(F.array_contains("prefix", w), i + 1)), lambda i: i.isNotNull())
+
+    def held(start, length):
+        return F.size(F.array_intersect(F.slice("words", start, length), F.col("texts")))
+
+    def first(p):
+        return F.greatest(F.lit(1), p - F.col("span") + 1)
+
+    near = F.filter(places, lambda p: held(first(p), p - first(p) + F.col("span")) >= F.col("need"))
+    best = F.array_max(F.transform(near, lambda p: F.array_max(F.transform(F.sequence(first(p), p), lambda i: held(i, F.col("span"))))))
+    out = some.select("doc_id", "_t", "label", F.lit(None).cast("int").alias("block"), best.alias("n"), "need", F.size("texts").alias("all"))
+    return out.where("n >= need").select("doc_id", "_t", "label", "block", (F.col("n") / F.col("all")).alias("containment"))
 
 
 def template_matches(docs: DataFrame, templates: list[tuple[str, str]] | None = None, threshold: float = 0.9, block: str = "\n") -> DataFrame:
     """``(doc_id, _t, label, block, containment)`` of every block and template that meet the threshold.
 
     ``docs`` has ``doc_id``, ``_t`` (a hash of the text), ``lowered`` and ``words``. A block is a
-    line; containment is the share of the template's distinct words that the block has.
+    line, or a run of words across lines, no longer than the template's number of words over the
+    threshold; containment is the share of the template's distinct words that the block has.
     Words are ordered by the number of documents that have them, over all documents, rarest
     first. A template that needs o of its n words shares one of its first n - o + 1 with
     every block it matches (prefix filter), the block has o words at least (length filter),
@@ -92,18 +120,20 @@ def template_matches(docs: DataFrame, templates: list[tuple[str, str]] | None =
     filter). What passes is verified. The prefix index has at most as many rows as the
     templates have words, whatever the corpus, so it is broadcast.
     """
-    sets = _template_sets(templates or TEMPLATES)
+    templates = templates or TEMPLATES
+    sets = _template_sets(templates)
     vocabulary = sorted({w for _, ws in sets for w in ws})
     vocab = F.array(*[F.lit(w) for w in vocabulary])
     counted = docs.select(F.explode(F.array_intersect("words", vocab)).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
     frequency = {r["w"]: r["n"] for r in counted.collect()}  # at most the templates' own words
     rank = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (frequency.get(w, 0), w)))}
-    index, shapes = [], []
+    index, shapes, spans = [], [], []
     for t, (label, ws) in enumerate(sets):
         ranks = sorted(rank[w] for w in ws)
         need = math.ceil(threshold * len(ranks) - 1e-9)
         shapes.append((t, label, ranks, need))
         index += [(r, t, i, need) for i, r in enumerate(ranks[: len(ranks) - need + 1])]
+        spans.append((label, ws, sorted(ws, key=rank.get)[: len(ws) - need + 1], need, math.ceil(len(_template_words(templates[t][1])) / threshold - 1e-9)))
     spark = docs.sparkSession
     prefix = spark.createDataFrame(index, "rank int, template int, place int, need int")
     table = spark.createDataFrame(shapes, "template int, label string, ranks array<int>, need int")
@@ -124,7 +154,9 @@ def template_matches(docs: DataFrame, templates: list[tuple[str, str]] | None =
     passed = first.where(behind >= F.col("need")).join(F.broadcast(table.drop("need")), "template")
     passed = passed.where(F.size("ranks") - F.col("place") >= F.col("need"))
     share = F.size(F.array_intersect("own", "ranks")) / F.size("ranks")
-    return passed.withColumn("containment", share).where(F.col("containment") >= threshold - 1e-9).select("doc_id", "_t", "label", "block", "containment")
+    whole = passed.withColumn("containment", share).where(F.col("containment") >= threshold - 1e-9).select("doc_id", "_t", "label", "block", "containment")
+    runs = spark.createDataFrame(spans, "label string, texts array<string>, prefix array<string>, need int, span int")
+    return whole.unionByName(_wrapped_matches(docs, runs, vocab, first_words, block))
 
 
 def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = None, threshold: float = 0.9) -> DataFrame:

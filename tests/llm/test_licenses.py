@@ -1,4 +1,5 @@
 import re
+import textwrap
 
 from linkwright.llm.licenses import PHRASES, TEMPLATES, scan_licenses
 from tests.llm.conftest import ODD
@@ -44,3 +45,46 @@ def test_against_brute_force(make, spark):
     assert scan_licenses(twice).count() == 2 * len(texts)
     assert scan_licenses(make(["MIT License"], ids=[None])).first()["n_base"] == 1
     assert "python" not in scan_licenses(make(texts))._jdf.queryExecution().executedPlan().toString().lower()
+
+
+def test_wrapped_templates(make):
+    """Notices broken over lines at 72 columns and less, in comments and between other text."""
+    before, after = "Some words that come before it, in a line of their own and then", "followed by more text\nthat has nothing to do with it"
+    texts, labels = [], []
+    for label, t in TEMPLATES:
+        for width, mark in ((72, " * "), (40, "# "), (25, "")):
+            lines = textwrap.wrap(f"{before} {t} {after}", width, break_long_words=False, break_on_hyphens=False)
+            texts.append("\n".join(mark + x for x in lines))
+            labels.append(label)
+    n = len(texts)
+    far = ("\n" + "other words stand here " * 9).join(TEMPLATES[8][1].split())
+    rows = {r["doc_id"]: r for r in scan_licenses(make([*texts, far])).collect()}
+    assert len(rows) == n + 1
+    for i in range(n):
+        assert labels[i] in rows[i]["labels"].split(",") and rows[i]["score"] == 1.0, texts[i]
+    assert (rows[n]["labels"], rows[n]["score"]) == ("", 0.0)
+
+
+def test_runs_across_lines_against_brute_force(make):
+    import math
+    import random
+
+    r = random.Random(7)
+    texts = []
+    for i in range(60):
+        w = split(TEMPLATES[i % len(TEMPLATES)][1])
+        for _ in range(r.randrange(0, 5)):
+            k = r.randrange(len(w))
+            w[k : k + r.randrange(2)] = [r.choice(["zz", "the", "license"])]
+        w = ["aa"] * r.randrange(9) + w + ["bb"] * r.randrange(9)
+        texts.append("".join(x + r.choice("   \n") for x in w))
+    for threshold in (0.9, 0.7):
+        got = {x["doc_id"]: x["labels"] for x in scan_licenses(make(texts), threshold=threshold).collect()}
+        for i, t in enumerate(texts):
+            words, want = split(t), set(filter(None, brute(t, threshold)[5].split(",")))
+            for label, template in TEMPLATES:
+                own = set(split(template))
+                span = math.ceil(len(split(template)) / threshold - 1e-9)
+                if any(len(own & set(words[j : j + span])) / len(own) >= threshold - 1e-9 for j in range(len(words))):
+                    want.add(label)
+            assert got[i] == ",".join(sorted(want)), t
