@@ -2,17 +2,28 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-__all__ = ["PATTERNS", "pseudonymise", "pseudonymise_documents", "feistel_text", "feistel_octets", "feistel_date"]
+__all__ = ["KEY_CONF", "PATTERNS", "pseudonymise", "pseudonymise_documents", "feistel_text", "feistel_octets", "feistel_date"]
+
+#: Session setting that holds the key of the permutations.
+KEY_CONF = "spark.linkwright.pii.key"
 
 ROUNDS = 8
 #: 400 Gregorian years have 146,097 = 189 * 773 days: a date is permuted within its own cycle.
 CYCLE, HIGH, LOW = 146_097, 189, 773
 
+#: Country calling codes by their first digits: 1 and 7, those of two digits, all others of three (ITU E.164).
+_COUNTRY = r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{1,3})"
+#: A social security number that can be issued: area, group and serial are not zero, the area is not 666 or from 900 on.
+_SSN_VALID = r"^(?!000|666|9)\d{3}(?!00)\d\d(?!0000)\d{4}$"
+#: Steps of a cycle walk; of the values walked, a share of 0.12 is left after each.
+WALK = 24
+
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 #: What is looked for, most telling form first. Numbers and dates are validated after the match.
 PATTERNS = {
@@ -120,43 +131,95 @@ def _kind_of(m: Column) -> Column:
     return out.otherwise("card")
 
 
-def _date_parts(m: Column) -> list[tuple[Column, str]]:
-    iso = r"^\d{4}-\d\d-\d\d$"
-    return [(m.rlike(iso), "yyyy-MM-dd"), (m.rlike(r"^\d\d\."), "dd.MM.yyyy"), (m.rlike(r"^\d\d/"), "MM/dd/yyyy")]
+def _dates(m: Column, key: str) -> Column:
+    """A valid date from 1600 on becomes another of the same form; slashes are read month first, then day first."""
+
+    def moved(form: str) -> Column:
+        day = F.try_to_date(m, form)
+        return F.when(day >= F.lit("1600-01-01").cast("date"), F.date_format(feistel_date(day, key), form))
+
+    return (
+        F.when(m.rlike(r"^\d{4}-\d\d-\d\d$"), F.coalesce(moved("yyyy-MM-dd"), m))
+        .when(m.rlike(r"^\d\d\."), F.coalesce(moved("dd.MM.yyyy"), m))
+        .when(m.rlike(r"^\d\d/"), F.coalesce(moved("MM/dd/yyyy"), moved("dd/MM/yyyy"), m))
+        .otherwise(m)
+    )
+
+
+def _digits(m: Column) -> Column:
+    return F.regexp_replace(m, "[^0-9]", "")
+
+
+def _woven(form: Column, digits: Column) -> Column:
+    """``form`` with its digits replaced by ``digits``, one after the other."""
+    between = F.split(form, "[0-9]", -1)
+    each = F.concat(F.filter(F.split(digits, ""), lambda c: c != ""), F.array(F.lit("")))
+    return F.array_join(F.zip_with(between, each, lambda s, d: F.concat(s, d)), "")
+
+
+def _phone(m: Column, key: str) -> Column:
+    """The digits behind the country code permuted in one written form, whatever the form found, so the forms stay linked."""
+
+    def permuted(d: Column) -> Column:
+        ten = F.concat(F.lit(" ("), F.substring(d, 1, 3), F.lit(") "), F.substring(d, 4, 3), F.lit("-"), F.substring(d, 7, 4))
+        return _digits(feistel_text(F.when(F.length(d) == 10, ten).otherwise(d), key, "phone"))
+
+    country = F.regexp_extract(m, _COUNTRY, 0)
+    rest = F.substr(m, F.length(country) + 1)
+    return F.concat(country, _woven(rest, _bind(_digits(rest), permuted)))
+
+
+def _ssn(m: Column, key: str) -> Column:
+    """Permuted, again and again until it is one that can be issued (cycle walking)."""
+    once = lambda d: feistel_text(d, key, "ssn")
+    walked = F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), once(_digits(m)), lambda d, _: F.when(d.rlike(_SSN_VALID), d).otherwise(once(d)))
+    return _woven(m, walked)
+
+
+def _card(m: Column, key: str) -> Column:
+    def permuted(d: Column) -> Column:
+        body = feistel_text(F.substr(d, F.lit(1), F.length(d) - 1), key, "card")
+        return _bind(body, lambda p: F.concat(p, F.pmod(-_luhn_sum(p, False), F.lit(10)).cast("string")))
+
+    return _woven(m, _bind(_digits(m), permuted))
 
 
 def pseudonymise(m: Column, kind: Column, key: str) -> Column:
     """What takes the place of one match; what fails its validation is returned as it is."""
-    country = F.regexp_extract(m, r"^\+\d{1,3}", 0)
     at = F.instr(m, "@")
-    card = F.substr(m, F.lit(1), F.length(m) - 1)
-    new_card = _bind(feistel_text(card, key, "card"), lambda p: F.concat(p, F.pmod(-_luhn_sum(p, False), F.lit(10)).cast("string")))
-    dates = m
-    for test, form in reversed(_date_parts(m)):
-        day = F.try_to_date(m, form)
-        dates = F.when(test, F.when(day >= F.lit("1600-01-01").cast("date"), F.date_format(feistel_date(day, key), form)).otherwise(m)).otherwise(dates)
     return (
         F.when(kind == "email", F.concat(feistel_text(F.substr(m, F.lit(1), at - 1), key, "email"), F.substr(m, at)))
-        .when(kind == "phone", F.concat(country, feistel_text(F.substr(m, F.length(country) + 1), key, "phone")))
+        .when(kind == "phone", _phone(m, key))
         .when(kind == "ip", feistel_octets(m, key))
-        .when(kind == "date", dates)
-        .when(kind == "ssn", feistel_text(m, key, "ssn"))
+        .when(kind == "date", _dates(m, key))
+        .when(kind == "ssn", _ssn(m, key))
         .when(kind == "secret", F.when(m == F.lower(m), feistel_text(m, key, "secret", True)).otherwise(F.upper(feistel_text(F.lower(m), key, "secret", True))))
-        .when(_luhn_sum(m, True) % 10 == 0, new_card)
+        .when(_luhn_sum(m, True) % 10 == 0, _card(m, key))
         .otherwise(m)
     )
 
 
-def pseudonymise_documents(docs: DataFrame, key: str = "linkwright", text: str = "text") -> DataFrame:
+def _key_of(docs: DataFrame) -> str:
+    """The session's key; without one a public stand-in, which hides nothing from who has this file, and a warning."""
+    key = docs.sparkSession.conf.get(KEY_CONF, "")
+    if not key:
+        warnings.warn(f"{KEY_CONF} is not set: personal data is replaced under a public key and can be restored", stacklevel=3)
+    return key or "linkwright"
+
+
+def pseudonymise_documents(docs: DataFrame, key: str | None = None, text: str = "text") -> DataFrame:
     """``docs`` with the personal data in ``text`` replaced; a last column ``pii`` lists what was, as ``kind:count``.
 
     Emails keep their domain, phones their country code, cards their length, grouping and a
-    valid check digit, dates their form; every digit and letter stays one. The replacement
-    is a keyed permutation of the values of a form, so equal values stay equal everywhere
-    and different ones different. No shuffle, no Python. A card must pass the Luhn test, a
+    valid check digit, social security numbers stay such as can be issued, dates keep their
+    form; every digit and letter stays one. The replacement is a keyed permutation: of the
+    digits of numbers, whatever separates them, so a number stays linked across its written
+    forms; of the day of dates; of the characters of names of mailboxes, in which case tells.
+    ``key`` is the session's ``spark.linkwright.pii.key`` unless given. No shuffle, no Python. A card must pass the Luhn test, a
     date exist (from 1600), octets be below 256; what fails stays. A null text stays null
     with ``pii`` null; other columns, whatever their names, stay (one named ``pii`` is replaced).
     """
+    key = _key_of(docs) if key is None else key
     regex = "|".join(f"(?:{p})" for p in PATTERNS.values()).replace(r"([./])", r"(?<sep>[./])").replace(r"\1", r"\k<sep>")
     t = F.col(text)
     matches = F.regexp_extract_all(t, F.lit(regex), F.lit(0))

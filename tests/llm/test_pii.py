@@ -87,3 +87,39 @@ def test_odd_rows(make):
 def test_native(make, bad):
     plan = pseudonymise_documents(make(["a@b.c"]))._jdf.queryExecution().executedPlan().toString().lower()
     assert bad not in plan
+
+
+def test_written_forms_share_a_pseudonym(make):
+    digits = lambda t: re.sub(r"\D", "", t)
+    cards = [one(make, f"a {c}, b") for c in ("4785380592391139", "4785 3805 9239 1139", "4785-3805-9239-1139")]
+    assert all(k == "card:1" for _, k in cards) and len({digits(t) for t, _ in cards}) == 1 and luhn(cards[0][0])
+    forms = ("+1 (731) 555-0170", "+1 731 555 0170", "+1-731-555-0170", "+1.731.555.0170")
+    phones = [one(make, f"call {p}.") for p in forms]
+    assert all(k == "phone:1" for _, k in phones) and len({digits(t) for t, _ in phones}) == 1
+    assert [re.sub(r"\d", "9", t[5:-1]) for t, _ in phones] == [re.sub(r"\d", "9", p) for p in forms] and all(t.startswith("call +1") for t, _ in phones)
+    assert digits(one(make, "call (731) 555-0170.")[0]) == digits(phones[0][0])[1:]
+    assert digits(one(make, "call +44 20 7946 0958.")[0])[:2] == "44"
+
+
+def test_numbers_stay_valid(spark):
+    ssn = r"(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}"
+    ids = spark.range(1, 3000).select(F.format_string("%03d-%02d-%04d", F.col("id") % 600 + 1, F.col("id") % 99 + 1, F.col("id")).alias("text"), F.col("id").alias("doc_id"))
+    rows = pseudonymise_documents(ids, "k").collect()
+    assert all(r["pii"] == "ssn:1" and re.fullmatch(ssn, r["text"]) for r in rows) and len({r["text"] for r in rows}) == len(rows)
+
+
+def test_dates_with_slashes(make):
+    iso = one(make, "on 1980-12-25.")[0][3:-1]
+    y, m, d = iso.split("-")
+    assert one(make, "on 12/25/1980.")[0] == f"on {m}/{d}/{y}." and one(make, "on 25/12/1980.")[0] == f"on {d}/{m}/{y}."
+    assert one(make, "on 25/13/1980.")[0] == "on 25/13/1980."
+
+
+def test_key_comes_from_the_session(make, spark):
+    spark.conf.set("spark.linkwright.pii.key", "k")
+    try:
+        assert pseudonymise_documents(make(["a 4785380592391139"])).first()["text"] == one(make, "a 4785380592391139")[0]
+    finally:
+        spark.conf.unset("spark.linkwright.pii.key")
+    with pytest.warns(UserWarning, match="pii.key"):
+        pseudonymise_documents(make(["a"]))
