@@ -9,39 +9,75 @@ from linkwright.functions.step import Step
 from linkwright.functions.text import squeeze
 from linkwright.functions.translit import transliterate
 
-__all__ = ["STREET_TYPES", "STREET_PARTICLES", "normalize_street"]
-
-# Usual postal abbreviations: language, then canonical form, then the variants that stand alone.
-STREET_TYPES: dict[str, dict[str, tuple[str, ...]]] = {
-    "de": {"GASSE": ("g",), "WEG": ("weg",), "PLATZ": ("platz", "pl"), "ALLEE": ("allee",)},
-    "en": {"STREET": ("street", "st"), "ROAD": ("road", "rd"), "AVENUE": ("avenue", "ave"), "BOULEVARD": ("boulevard", "blvd"), "DRIVE": ("drive", "dr"), "LANE": ("lane", "ln")},
-    "fr": {"RUE": ("rue", "r"), "AVENUE": ("av",), "BOULEVARD": ("bd",), "PLACE": ("pl",), "QUAI": ("quai",), "IMPASSE": ("impasse", "imp"), "COURS": ("cours",), "CHEMIN": ("chemin", "ch"), "ALLEE": ("allee",)},
-    "es": {"CALLE": ("calle", "c"), "AVENIDA": ("avenida", "avda", "av"), "PASEO": ("paseo", "po"), "PLAZA": ("plaza", "pl"), "CAMINO": ("camino", "cno"), "CARRERA": ("carrera", "cra"), "RONDA": ("ronda", "rda")},
-    "it": {"VIA": ("via", "v"), "VIALE": ("viale",), "PIAZZA": ("piazza", "p"), "CORSO": ("corso", "c"), "LARGO": ("largo",), "VICOLO": ("vicolo", "vic")},
-    "pt": {"RUA": ("rua", "r"), "AVENIDA": ("avenida", "av"), "PRACA": ("praca", "prc"), "TRAVESSA": ("travessa", "tv"), "ALAMEDA": ("alameda", "al")},
-    "pl": {"ULICA": ("ulica", "ul"), "ALEJA": ("aleja", "al"), "PLAC": ("plac", "pl"), "OSIEDLE": ("osiedle", "os")},
-    "nl": {"STRAAT": ("str",), "LAAN": ("laan",), "WEG": ("weg",), "PLEIN": ("plein",), "GRACHT": ("gracht",), "KADE": ("kade",)},
-    "tr": {"SOKAK": ("sokak", "sok"), "CADDE": ("cadde", "cad"), "BULVAR": ("bulvar", "blv"), "MEYDAN": ("meydan", "mey")},
-    "sv": {"GATA": ("gata",), "VAGEN": ("vagen",), "TORG": ("torg",)},
-    "da": {"GADE": ("gade",), "VEJ": ("vej", "v"), "PLADS": ("plads",)},
-}
-
-# Endings that stand for a type where the language is known.
+__all__ = ["STREET_TYPES", "STREET_SUFFIXES", "STREET_PARTICLES", "normalize_street"]
+
+# The spellings that results are compared by (language, written form, result).
+FIXED_FORMS = [
+    ("de", "STR", "STRASSE"),
+    ("en", "ST", "STREET"),
+    ("en", "BLVD", "BOULEVARD"),
+    ("fr", "BD", "BOULEVARD"),
+    ("es", "AVDA", "AVENIDA"),
+    ("it", "P", "PIAZZA"),
+    ("pt", "AV", "AVENIDA"),
+    ("pl", "UL", "ULICA"),
+    ("tr", "CAD", "CADDE"),
+    ("sv", "GATAN", "GATA"),
+]
+
+# Abbreviations that postal services recommend, a small choice for each language: USPS Publication 28 appendix C1
+# and Royal Mail (en), Deutsche Post and DIN 5008 (de), AFNOR NF Z10-011 (fr), Correos and INE road types (es),
+# Poste Italiane (it), CTT (pt), Poczta Polska (pl), NEN 5825 (nl), PTT (tr), PostNord (sv, da). "FORM: ABBREVIATIONS".
+_POSTAL = {
+    "en": "ALLEY: ALY / AVENUE: AVE AV / CIRCLE: CIR / CLOSE: CL / COURT: CT / CRESCENT: CRES / CROSSING: XING / DRIVE: DR / EXPRESSWAY: EXPY / GARDENS: GDNS / GROVE: GRV / HIGHWAY: HWY / LANE: LN / PARKWAY: PKWY / PLAZA: PLZ / ROAD: RD / SQUARE: SQ / TERRACE: TER / TRAIL: TRL / TURNPIKE: TPKE",
+    "de": "CHAUSSEE: CH / DAMM: D / GASSE: G / PLATZ: PL / PROMENADE: PROM / UFER: U",
+    "fr": "ALLEE: ALL / AVENUE: AV / CHEMIN: CHE / COURS: CRS / FAUBOURG: FG / IMPASSE: IMP / LOTISSEMENT: LOT / PASSAGE: PAS / PLACE: PL / RESIDENCE: RES / ROUTE: RTE / SQUARE: SQ / VILLA: VLA",
+    "es": "BARRIO: BRO / CALLE: CL / CALLEJON: CJON / CAMINO: CMNO / CARRETERA: CTRA / GLORIETA: GTA / PASAJE: PSJE / PASEO: PSO / PLAZA: PZA / POLIGONO: POLIG / RONDA: RDA / TRAVESIA: TRVA / URBANIZACION: URB",
+    "it": "BORGO: BGO / CONTRADA: CDA / CORSO: CSO / LARGO: LGO / LOCALITA: LOC / STRADA: STR / VIA: V / VIALE: VLE / VICOLO: VIC",
+    "pt": "ALAMEDA: AL / BAIRRO: BR / ESTRADA: ESTR / LARGO: LG / PRACA: PC / PRACETA: PCT / RODOVIA: ROD / RUA: R / TRAVESSA: TV / URBANIZACAO: URB",
+    "pl": "ALEJA: AL / OSIEDLE: OS / PLAC: PL / RONDO: RD / SKWER: SKW",
+    "nl": "DREEF: DR / GRACHT: GR / KADE: KD / LAAN: LN / PLEIN: PLN / SINGEL: SNGL / STRAAT: STR / WEG: WG",
+    "tr": "BULVAR: BULV BLV / CADDE: CD / MAHALLE: MAH / MEYDAN: MEYD / SOKAK: SK SOK",
+    "sv": "GRAND: GR / TORG: T / VAG: VAGEN",
+    "da": "ALLE: ALL / GADE: GD / PLADS: PL / STRAEDE: STR / VEJ: V",
+}
+
+
+def _types() -> dict[str, dict[str, tuple[str, ...]]]:
+    out: dict[str, dict[str, tuple[str, ...]]] = {}
+    for lang, variant, full in FIXED_FORMS:
+        here = out.setdefault(lang, {})
+        here[full] = (*here.get(full, ()), variant)
+    for lang, entries in _POSTAL.items():
+        here = out.setdefault(lang, {})
+        for entry in entries.split(" / "):
+            full, short = entry.split(": ")
+            here[full] = (*here.get(full, ()), *short.split())
+    return out
+
+
+#: Language, then spelled-out form, then the abbreviations of it that stand alone.
+STREET_TYPES = _types()
+
+#: Endings that stand for a type where the language is known: compounds are written in one word.
 STREET_SUFFIXES: dict[str, dict[str, str]] = {
-    "de": {"strasse": "STRASSE", "str": "STRASSE", "gasse": "GASSE"},
-    "nl": {"straat": "STRAAT"},
-    "sv": {"gatan": "GATA", "vagen": "VAGEN"},
+    "de": {"STR": "STRASSE", "STRASSE": "STRASSE", "PL": "PLATZ"},
+    "nl": {"STR": "STRAAT", "LN": "LAAN", "PLN": "PLEIN"},
+    "sv": {"GATAN": "GATA", "VAGEN": "VAG"},
+    "da": {"GD": "GADE"},
 }
 
-# Locative particles and articles.
+#: Articles and prepositions of place, by the grammar of each language.
 STREET_PARTICLES: dict[str, str] = {
-    "de": "an am in im zum zur zu auf bei beim vor hinter unter der die das den dem des",
-    "en": "the of at on",
-    "fr": "de du des la le les l au aux",
-    "es": "de del la el las los",
-    "it": "di del della delle dello dei degli da",
-    "pt": "de do da dos das",
-    "nl": "van de den der het op aan",
+    "da": "af den det i paa til ved",
+    "de": "am an auf bei dem den der des die das hinter im in unter vor zu zum zur",
+    "en": "at by in of on the upon",
+    "es": "al de del el en la las los",
+    "fr": "a au aux de des du en la le les sur",
+    "it": "al da dei del della delle di il la nel",
+    "nl": "aan bij de den der het op te ter van",
+    "pt": "a ao da das de do dos em no na o",
+    "sv": "av den det i pa till vid",
 }
 
 

@@ -33,18 +33,15 @@ def generate_ngrams(n: int) -> Step:
     return Step("generate_ngrams", fn, "text", "tokens", (("n", n),))
 
 
-def numeric_tokens(keep_letters: bool = True, destructive: bool = False, max_range: int = 10_000) -> Step:
-    """Numbers, and numbers with one letter behind; a text that is only a range gives all of it.
-
-    A range wider than ``max_range`` numbers is kept as its two ends.
-    """
+def numeric_tokens(keep_letters: bool = True, destructive: bool = False) -> Step:
+    """Numbers, and numbers with one letter behind; a text that is only a range (ends up to 999,999,999) gives all of it."""
 
     def fn(c: Column) -> Column:
         t = squeeze(F.regexp_replace(F.upper(transliterate(c, "Any-Latin; Latin-ASCII")), "[^0-9]" if destructive else "[^0-9A-Z]", " "))
         low, high = (F.try_to_number(F.regexp_extract(t, r"^(\d{1,9}) (\d{1,9})$", i), F.lit("999999999")).cast("int") for i in (1, 2))
         number = r"^[0-9]+$" if destructive or not keep_letters else r"^[0-9]+[A-Z]?$"
         single = F.array_distinct(F.filter(F.split(t, " "), lambda x: x.rlike(number)))
-        is_range = t.rlike(r"^\d{1,9} \d{1,9}$") & (low <= high) & (high - low < max_range)
+        is_range = t.rlike(r"^\d{1,9} \d{1,9}$") & (low <= high)
         whole = F.transform(F.sequence(F.coalesce(F.when(is_range, low), F.lit(0)), F.coalesce(F.when(is_range, high), F.lit(0))), lambda i: i.cast("string"))
         return F.when(F.coalesce(is_range, F.lit(False)), whole).otherwise(single)
 

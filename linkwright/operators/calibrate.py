@@ -113,7 +113,7 @@ def match_features(
     )
     out = pairs.join(repeats, keys, "left").join(top, keys, "left").na.fill(0, ["scnt", "rcnt"])
     if "stage" in matches.columns:
-        stages = sorted(x[0] for x in pairs.select("stage").where("stage is not null").distinct().limit(1000).collect())
+        stages = sorted(x[0] for x in pairs.select("stage").where("stage is not null").distinct().collect())  # the strategy author names the stages
         if len(stages) > 1:
             for s in stages:
                 out = out.withColumn("stage_" + "".join(ch if ch.isalnum() else "." for ch in s), (F.col("stage") == s).cast("int"))
@@ -172,7 +172,7 @@ def _vector(df: DataFrame, model: FilterModel) -> DataFrame:
     from pyspark.ml.feature import VectorAssembler
 
     for p in model.predictors:
-        df = df.withColumn(f"_p_{p}" if False else p, F.coalesce(F.col(f"`{p}`").cast("double"), F.lit(model.na_fill)) if p in df.columns else F.lit(model.na_fill))
+        df = df.withColumn(p, F.coalesce(F.col(f"`{p}`").cast("double"), F.lit(model.na_fill)) if p in df.columns else F.lit(model.na_fill))
     safe = {p: f"p{i}_" for i, p in enumerate(model.predictors)}
     df = df.withColumns({s: F.col(f"`{p}`") for p, s in safe.items()})
     return VectorAssembler(inputCols=list(safe.values()), outputCol="features_").transform(df).drop(*safe.values())

@@ -9,10 +9,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkwright.operators.embed import compute_embeddings
-from linkwright.operators.exact import containment_pairs
+from linkwright.operators.exact import column_prints, containment_pairs
 from linkwright.operators.index import KEY, block_key, build_cross_index, build_index, find_stopwords, id_text, prepare_search_data, token_sets, vocabulary
 from linkwright.operators.recommend import recommendations
 from linkwright.operators.score import relative_potential, weight_column
+from linkwright.plans.runtime import stash
 from linkwright.plans.strategy import EmbeddingStrategy, ExactStrategy, SearchStrategy
 
 __all__ = [
@@ -79,7 +80,10 @@ def _vocabulary(df: DataFrame, id: str, strategy: SearchStrategy) -> DataFrame:
 
 def rarity_distribution(df: DataFrame, id: str, strategy: SearchStrategy, n_offenders: int = 20) -> Report:
     """Per block and column: vocabulary, highest df and its token, rarity range; and the commonest tokens."""
-    voc = _vocabulary(df, id, strategy)
+    return _rarity_tables(_vocabulary(df, id, strategy), n_offenders)
+
+
+def _rarity_tables(voc: DataFrame, n_offenders: int) -> Report:
     per = voc.groupBy("block", "src_column").agg(
         F.count("*").alias("n_tokens"),
         F.max("df").alias("df_max"),
@@ -159,14 +163,12 @@ def _audit_embedding(df, id, strategy, sample_pairs, seed) -> Report:
 
 
 def _prints(df: DataFrame, id: str, strategy: SearchStrategy, candidates: dict[str, tuple]) -> DataFrame:
-    """One row a record: ``fp`` over all columns, ``c<i>`` of each, and ``k<j>`` of each candidate block key."""
-    sets = token_sets(prepare_search_data(df, id, strategy.with_(block_by=())))
-    names = list(strategy.columns)
-    per = sets.groupBy("id").agg(*[F.array_join(F.array_sort(F.collect_set(F.when(F.col("src_column") == c, F.col("token")))), "\x1f").alias(f"c{i}") for i, c in enumerate(names)])
-    keys = [F.coalesce(block_key(tuple(cols)), F.lit("\x00")).alias(f"k{j}") for j, cols in enumerate(candidates.values())]
-    base = df.select(id_text(id).alias("id"), *keys).dropDuplicates(["id"])
-    out = base.join(per, "id", "left").na.fill("", [f"c{i}" for i in range(len(names))])
-    return out.withColumn("fp", F.concat_ws("\x1e", *[f"c{i}" for i in range(len(names))]))
+    """One row a record: ``fp`` over all columns, ``c<i>`` of each (digests), and ``k<j>`` of each candidate block key; written."""
+    keys = {f"k{j}": F.coalesce(block_key(tuple(cols)), F.lit("\x00")) for j, cols in enumerate(candidates.values())}
+    names = [f"c{i}" for i in range(len(strategy.columns))]
+    first = column_prints(df, id, strategy.columns)
+    base = df.select(id_text(id).alias("id"), *[k.alias(n) for n, k in keys.items()]).where("id is not null").dropDuplicates(["id"])
+    return stash(base.join(first, "id").withColumn("fp", F.concat_ws("\x1e", *names)))
 
 
 def _frontier_row(b: DataFrame, t: DataFrame | None, key: str) -> DataFrame:
@@ -220,7 +222,7 @@ def plan_strategy(
         alone = has(b, "fp").where("not _in").drop("_in")
         partial = {c: _share_of(has(alone, f"c{i}"), F.col("_in") & (F.col(f"c{i}") != "")) or 0.0 for i, c in enumerate(names)}
     residual = {"matchable": matchable, "one_sided": None if matchable is None else 1 - matchable, "partial_recoverable": partial, "reference_block": next(iter(cand))}
-    voc = _vocabulary(base, base_id, proxy)
+    voc = stash(_vocabulary(base, base_id, proxy))
     if min_rarity_grid is None:
         q = voc.select("rarity").distinct().agg(F.percentile("rarity", [0.1, 0.25, 0.5, 0.75, 0.9]).alias("q")).first()["q"] or []
         min_rarity_grid = sorted({0.0, *q})
@@ -250,7 +252,7 @@ def plan_strategy(
     if good and most:
         knee = min(good, key=lambda r: r["brute_pairs"] or 0.0)
         signals |= {"blocking_knee_block": knee["block_key"], "blocking_knee_survival": knee["exact_twin_survival"], "blocking_knee_savings": 1 - (knee["brute_pairs"] or 0.0) / most}
-    reads = rarity_distribution(base, base_id, proxy, n_offenders)
+    reads = _rarity_tables(voc, n_offenders)
     tables = {"frontier": frontier, "min_rarity_curve": curve, "empty_column": base.sparkSession.createDataFrame(empty, "column string, empty_rate double, score_ceiling double")}
     return Report("strategy plan", tables | reads.tables, {"mode": "dedup" if t is None else "search", "persister_rate": persister, "residual_structure": residual, "containment_share": share}, recommendations(signals))
 

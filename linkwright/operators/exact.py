@@ -4,33 +4,63 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linkwright.operators.index import _records, id_text, prepare_search_data, rarity_column, token_sets
+from linkwright.functions import run_steps
+from linkwright.operators.index import KEY, _records, block_key, check_input, id_text, prepare_search_data, rarity_column, token_sets
+from linkwright.plans.runtime import stash
 from linkwright.plans.strategy import ExactStrategy
 
-__all__ = ["fingerprints", "containment_pairs"]
+__all__ = ["column_prints", "fingerprints", "containment_pairs"]
 
 
-def fingerprints(df: DataFrame, id: str, strategy: ExactStrategy) -> DataFrame:
-    """``id, block, fp`` of records with any token: per column the sorted distinct tokens, joined.
+def column_prints(df: DataFrame, id: str, columns: dict, **keys: Column) -> DataFrame:
+    """``id``, the ``keys`` and ``c0, c1, ...``: a digest (SHA-256) of each column's sorted distinct tokens, "" for none; written.
 
-    Computed per row from the pipelines' lists, so no shuffle is needed unless ids repeat
-    (their tokens are pooled by the caller's grouping on the result).
+    Rows give their digests where they are read; only digests are shuffled. Records whose id
+    (and keys) stand in several rows have their tokens pooled, from a second read of these.
     """
-    sets = token_sets(prepare_search_data(df, id, strategy)).where("block is not null")
-    per = [F.array_join(F.array_sort(F.collect_set(F.when(F.col("src_column") == c, F.col("token")))), "\x1f").alias(f"f{i}") for i, c in enumerate(strategy.columns)]
-    wide = sets.groupBy("id", "block").agg(*per)
-    fp = F.concat_ws("\x1e", *[f"f{i}" for i in range(len(strategy.columns))])
-    return wide.select("id", "block", fp.alias("fp"))
+    lists = {f"c{i}": run_steps(F.col(c).cast("string"), steps) for i, (c, steps) in enumerate(columns.items())}
+    names, who = list(lists), ["id", *keys]
+    own = lambda t: F.coalesce(F.array_sort(F.array_distinct(F.filter(t, lambda x: x.isNotNull()))), F.array().cast("array<string>"))
+    digest = lambda t: F.when(F.size(t) > 0, F.sha2(F.array_join(t, "\x1f"), 256)).otherwise("")
+    rows = df.select(id_text(id).alias("id"), *[k.alias(n) for n, k in keys.items()], *[own(t).alias(n) for n, t in lists.items()]).where("id is not null")
+    printed = rows.select(*who, *[digest(F.col(n)).alias(n) for n in names])
+    once = stash(printed.groupBy(*who).agg(F.count("*").alias("_rows"), *[F.first(n).alias(n) for n in names]))
+    single = once.where("_rows = 1").drop("_rows")
+    again = once.where("_rows > 1").select(*who)
+    if again.isEmpty():
+        return single
+    same = [rows[k].eqNullSafe(again[k]) for k in who]
+    several = rows.join(again, reduce(lambda x, y: x & y, same), "left_semi")
+    pooled = several.groupBy(*who).agg(*[own(F.flatten(F.collect_list(n))).alias(n) for n in names]).select(*who, *[digest(F.col(n)).alias(n) for n in names])
+    return stash(single.unionByName(pooled))
+
+
+def fingerprints(df: DataFrame, id: str, strategy: ExactStrategy) -> DataFrame:
+    """``id, block, fp`` of records with any token: one digest of their columns' sorted distinct tokens."""
+    check_input(df, id, strategy)
+    prints = column_prints(df, id, strategy.columns, block=block_key(strategy.block_by)).where("block is not null")
+    names = [f"c{i}" for i in range(len(strategy.columns))]
+    fp = F.concat_ws("\x1e", *names)
+    return prints.where(F.concat(*names) != "").select("id", "block", (F.sha2(fp, 256) if len(names) > 1 else fp).alias("fp"))
+
+
+def _rarest(sets: DataFrame, other: DataFrame) -> DataFrame:
+    """``id, block`` and the one token of each record that fewest records of ``other`` have; a record with a token that none has is left out."""
+    df = other.groupBy(*KEY).agg(F.count("*").alias("df"))
+    met = sets.join(df, KEY, "left")
+    best = met.groupBy("id", "block").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "src_column", "token")).alias("t"))
+    return best.where("t.df > 0").select("id", "block", "t.src_column", "t.token")
 
 
 def containment_pairs(base: DataFrame, base_id: str, target: DataFrame | None, target_id: str | None, strategy: ExactStrategy) -> DataFrame:
     """``lhs_id, rhs_id``: in every column the base's tokens are among the target's (or, bidirectional, the reverse).
 
-    The overlap in each column is counted by the token join; it must be all of one side's
-    tokens in total. A column where the contained side is a proper, non-empty subset needs
+    The contained record's rarest token is in the containing one, so only the records that
+    have it are candidates; their overlap in each column is then counted, and must be all of
+    one side's tokens. A column where the contained side is a proper, non-empty subset needs
     ``min_containment_tokens`` of them; ``min_base_rarity`` asks for a sum of rarity.
     """
     proxy = strategy.proxy()
@@ -38,14 +68,18 @@ def containment_pairs(base: DataFrame, base_id: str, target: DataFrame | None, t
     tokens = prepare_search_data(base, base_id, strategy).withColumn("side", F.lit("base"))
     if cross:
         tokens = tokens.unionByName(prepare_search_data(target, target_id, strategy).withColumn("side", F.lit("target")))
-    sets = token_sets(tokens).where("block is not null")
+    sets = stash(token_sets(tokens).where("block is not null"))
     left = sets.where("side = 'base'").drop("side")
     right = (sets.where("side = 'target'") if cross else sets).drop("side")
     names = list(strategy.columns)
     sized = lambda s, p: s.groupBy("id", "block").agg(*[F.count_if(F.col("src_column") == c).alias(f"{p}{i}") for i, c in enumerate(names)])
-    over = left.withColumnRenamed("id", "lhs_id").drop("c").join(right.withColumnRenamed("id", "rhs_id").drop("c"), ["block", "src_column", "token"])
+    l, r = left.withColumnRenamed("id", "lhs_id").drop("c"), right.withColumnRenamed("id", "rhs_id").drop("c")  # noqa: E741
+    near = _rarest(left, right).withColumnRenamed("id", "lhs_id").join(r, KEY).select("lhs_id", "rhs_id", "block")
+    if strategy.containment == "bidirectional":
+        near = near.union(_rarest(right, left).withColumnRenamed("id", "rhs_id").join(l, KEY).select("lhs_id", "rhs_id", "block")).distinct()
     if not cross:
-        over = over.where("lhs_id <> rhs_id")
+        near = near.where("lhs_id <> rhs_id")
+    over = near.join(l, ["lhs_id", "block"]).join(r, ["rhs_id", *KEY])
     over = over.groupBy("lhs_id", "rhs_id", "block").agg(*[F.count_if(F.col("src_column") == c).alias(f"o{i}") for i, c in enumerate(names)])
     over = over.join(sized(left, "a").withColumnRenamed("id", "lhs_id"), ["lhs_id", "block"]).join(sized(right, "b").withColumnRenamed("id", "rhs_id"), ["rhs_id", "block"])
     least = strategy.least_tokens()

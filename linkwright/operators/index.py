@@ -5,11 +5,13 @@ from __future__ import annotations
 import math
 import warnings
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkwright.functions import run_steps
+from linkwright.plans.runtime import stash
 from linkwright.plans.strategy import BlockOnTokens, ExactStrategy, SearchStrategy
 
 __all__ = ["FanoutError", "choose_cut", "compute_rarity", "find_stopwords", "inspect_tokens", "prepare_search_data", "thin"]
@@ -70,25 +72,53 @@ def _surviving(df: DataFrame, id: str, spec: BlockOnTokens, strategy: SearchStra
     return per.join(vocabulary.select("token"), "token").select("id", F.concat(F.lit(f"{spec.column}:"), "token").alias("btok"))
 
 
+def _token_blocks(df: DataFrame, id: str, strategy: SearchStrategy) -> DataFrame | None:
+    """``(id, btok)`` of all token blocks, or None without any."""
+    parts = [_surviving(df, id, spec, strategy) for spec in strategy.token_blocks]
+    return reduce(DataFrame.union, parts).distinct() if parts else None
+
+
+def _pairing(blocks: DataFrame, strategy: SearchStrategy) -> DataFrame:
+    """The token blocks that can make a pair and tell more than another: ``(id, btok)`` or ``(side, id, btok)``.
+
+    A block of one record (or of one side) pairs nothing. Blocks of the very same records
+    score them alike, so the least name stands for all; their members are compared as lists
+    where ``max_df`` bounds these. Under global rarity a record's tokens count whether it
+    pairs or not, so there every block stays.
+    """
+    if strategy.rarity_scope == "global":
+        return blocks
+    cross = "side" in blocks.columns
+    sizes = [F.count_if(F.col("side") == x) >= 1 for x in ("base", "target")] if cross else [F.count("*") >= 2]
+    who = F.struct("side", "id") if cross else F.col("id")
+    if any(math.isinf(b.max_df) for b in strategy.token_blocks):
+        kept = blocks.groupBy("btok").agg(reduce(lambda x, y: x & y, sizes).alias("ok")).where("ok").select("btok")
+    else:
+        groups = blocks.groupBy("btok").agg(F.array_sort(F.collect_list(who)).alias("members"), reduce(lambda x, y: x & y, sizes).alias("ok")).where("ok")
+        kept = groups.groupBy("members").agg(F.min("btok").alias("btok")).select("btok")
+    return blocks.join(kept, "btok")
+
+
+def _in_blocks(rows: DataFrame, blocks: DataFrame | None) -> DataFrame:
+    """Every record's tokens once in each of its token blocks."""
+    if blocks is None:
+        return rows
+    return rows.join(blocks, "id").select("id", F.concat_ws("\x1e", "block", "btok").alias("block"), "src_column", "token", "btok", *(["c"] if "c" in rows.columns else [])).where("block is not null")
+
+
+def _plain(df: DataFrame, id: str, strategy: SearchStrategy | ExactStrategy) -> DataFrame:
+    check_input(df, id, strategy)
+    return _long(df, id, strategy.columns, tuple(b for b in strategy.block_by if isinstance(b, str)), [])
+
+
 def prepare_search_data(df: DataFrame, id: str, strategy: SearchStrategy | ExactStrategy) -> DataFrame:
     """Tokens in long form: ``id, block, src_column, token`` and, with token blocks, ``btok``; one row an occurrence.
 
     With token blocks a record appears in every block of its rare tokens, with all its
     tokens; a record without any has no rows. Null tokens are dropped, empty ones stay.
     """
-    check_input(df, id, strategy)
-    plain = tuple(b for b in strategy.block_by if isinstance(b, str))
-    rows = _long(df, id, strategy.columns, plain, [])
-    specs = [b for b in strategy.block_by if not isinstance(b, str)]
-    if not specs:
-        return rows
-    survivors = None
-    for spec in specs:
-        s = _surviving(df, id, spec, strategy)
-        survivors = s if survivors is None else survivors.union(s)
-    survivors = survivors.distinct()
-    rows = rows.join(survivors, "id")
-    return rows.select("id", F.concat_ws("\x1e", "block", "btok").alias("block"), "src_column", "token", "btok").where("block is not null")
+    rows = _plain(df, id, strategy)
+    return _in_blocks(rows, _token_blocks(df, id, strategy) if isinstance(strategy, SearchStrategy) else None)
 
 
 def token_sets(tokens: DataFrame) -> DataFrame:
@@ -193,25 +223,71 @@ def thin(voc: DataFrame, strategy: SearchStrategy, sides: DataFrame | None = Non
 
 @dataclass
 class Index:
-    """Folded token sets and the vocabulary kept of them."""
+    """Folded token sets and the vocabulary kept of them; or, where blocks are small, ``rows`` weighted block by block."""
 
     sets: DataFrame
-    kept: DataFrame
+    kept: DataFrame | None = None
+    rows: DataFrame | None = None
 
     def weighted(self) -> DataFrame:
-        return self.sets.join(self.kept.select(*KEY, "rarity"), KEY)
+        return self.sets.join(self.kept.select(*KEY, "rarity", "df"), KEY) if self.rows is None else self.rows
+
+
+def _in_small_blocks(sets: DataFrame, strategy: SearchStrategy) -> DataFrame | None:
+    """The weighted rows by windows inside blocks, whose records ``max_df`` bounds: one shuffle, by block.
+
+    None where some block is not bounded, or where rarity looks beyond a token's own rows.
+    """
+    if strategy.rarity_scope == "global" or strategy.rarity not in ("inverse_freq", "smoothed_inverse_freq") or any(math.isinf(b.max_df) for b in strategy.token_blocks):
+        return None
+    w = Window.partitionBy(*KEY)
+    side = (lambda x: F.count_if(F.col("side") == x).over(w)) if "side" in sets.columns else None
+    rows = sets.repartition("block").withColumn("df", F.count("*").over(w))
+    rows = rows.withColumn("rarity", rarity_column(strategy, F.sum("c").over(w), F.col("df"), F.lit(None), F.lit(None)))
+    mass = F.col("df") - 1 if side is None else F.when(F.col("side") == "base", side("target")).otherwise(0)
+    rows = rows.withColumn("_mass", mass)
+    if strategy.min_rarity:
+        rows = rows.where(F.col("rarity") >= strategy.min_rarity)
+    if not math.isinf(strategy.max_token_df):
+        rows = rows.where(F.col("df") <= strategy.max_token_df)
+    if strategy.on_fanout != "off":
+        cut = _decide(rows.groupBy(F.col("df").alias("d")).agg(F.sum("_mass").alias("mass")), strategy)
+        rows = rows if math.isinf(cut) else rows.where(F.col("df") <= cut)
+    return rows.drop("_mass")
+
+
+def _sets(df: DataFrame, id: str, strategy: SearchStrategy) -> DataFrame:
+    """The folded sets outside any token block; records with a null plain block are left out."""
+    return token_sets(_plain(df, id, strategy)).where("block is not null")
 
 
 def build_index(df: DataFrame, id: str, strategy: SearchStrategy) -> Index:
-    sets = token_sets(prepare_search_data(df, id, strategy)).where("block is not null")
+    """The token pipelines run once: the folded sets are written, everything after reads them."""
+    sets = stash(_sets(df, id, strategy))
+    blocks = _token_blocks(df, id, strategy)
+    if blocks is not None:
+        sets = _in_blocks(sets, _pairing(stash(blocks), strategy)).drop("btok")
+        rows = _in_small_blocks(sets, strategy)
+        if rows is not None:
+            return Index(sets, rows=rows)
+        sets = stash(sets)
     return Index(sets, thin(vocabulary(sets, strategy), strategy))
 
 
 def build_cross_index(base: DataFrame, target: DataFrame, base_id: str, target_id: str, strategy: SearchStrategy) -> Index:
     """Both tables in one index, told apart by ``side``; rarity counts them together."""
-    tokens = prepare_search_data(base, base_id, strategy).withColumn("side", F.lit("base"))
-    tokens = tokens.unionByName(prepare_search_data(target, target_id, strategy).withColumn("side", F.lit("target")))
-    sets = token_sets(tokens).where("block is not null")
+    tables = [("base", base, base_id), ("target", target, target_id)]
+    named = lambda df, side: df.withColumn("side", F.lit(side))
+    sets = stash(reduce(DataFrame.unionByName, [named(_sets(df, i, strategy), side) for side, df, i in tables]))
+    if strategy.token_blocks:
+        blocks = stash(reduce(DataFrame.unionByName, [named(_token_blocks(df, i, strategy), side) for side, df, i in tables]))
+        pairing = stash(_pairing(blocks, strategy))
+        parts = [named(_in_blocks(sets.where(F.col("side") == side), pairing.where(F.col("side") == side).drop("side")).drop("btok"), side) for side, *_ in tables]
+        sets = reduce(DataFrame.unionByName, parts)
+        rows = _in_small_blocks(sets, strategy)
+        if rows is not None:
+            return Index(sets, rows=rows)
+        sets = stash(sets)
     sides = sets.groupBy(*KEY).agg(F.count_if(F.col("side") == "base").alias("df_base"), F.count_if(F.col("side") == "target").alias("df_target"))
     return Index(sets, thin(vocabulary(sets, strategy), strategy, sides))
 
@@ -237,8 +313,13 @@ def find_stopwords(df: DataFrame, id: str, strategy: SearchStrategy, max_prop: f
 
 
 def inspect_tokens(df: DataFrame, id: str, strategy: SearchStrategy, column: str) -> DataFrame:
-    """``token, <column>, n``: which raw values a token comes from."""
+    """``token, <column>, n``: which raw values a token comes from.
+
+    A column called ``token`` is given as ``token_original``; beside one called ``n`` the number is ``n_rows``.
+    """
     if column not in strategy.columns:
         raise ValueError(f"the strategy has no column {column!r}")
-    steps = strategy.columns[column]
-    return df.select(F.col(column), F.explode(run_steps(F.col(column).cast("string"), steps)).alias("token")).where("token is not null").groupBy("token", column).agg(F.count("*").alias("n"))
+    raw = F.col(column)
+    told = df.select(raw.alias("_raw"), F.explode(run_steps(raw.cast("string"), strategy.columns[column])).alias("token"))
+    counted = told.where("token is not null").groupBy("token", "_raw").agg(F.count("*").alias("_n"))
+    return counted.select("token", F.col("_raw").alias("token_original" if column == "token" else column), F.col("_n").alias("n_rows" if column == "n" else "n"))

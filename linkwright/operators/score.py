@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkwright.operators.index import KEY, Index
+from linkwright.plans.runtime import stash
 from linkwright.plans.strategy import SearchStrategy
 
 __all__ = ["SLACK", "relative_potential", "score_pairs", "best_pairs"]
@@ -18,7 +19,7 @@ SLACK = 1e-9
 
 def relative_potential(rows: DataFrame, strategy: SearchStrategy) -> DataFrame:
     """Adds ``rip``: the token's share of its record's rarity in the column (and block), smoothed if asked."""
-    w = Window.partitionBy("id", "src_column", "block")
+    w = Window.partitionBy("block", "id", "src_column", *(["side"] if "side" in rows.columns else []))
     share = F.try_divide(F.col("rarity"), F.sum("rarity").over(w))
     rows = rows.withColumn("rip", share)
     s = strategy.smoothing
@@ -47,24 +48,94 @@ def _presence(rows: DataFrame, strategy: SearchStrategy) -> DataFrame:
     return rows.groupBy("id").agg(F.bit_or(bits.cast("long")).alias("mask"))
 
 
-def score_pairs(index: Index, strategy: SearchStrategy) -> DataFrame:
-    """``lhs_id, rhs_id, score`` of all pairs that share a token; directed, lhs weights count.
+def _suffixes(left: DataFrame, strategy: SearchStrategy, threshold: float) -> DataFrame:
+    """Marks by ``rare`` the rarest tokens of each record and block, the others of which weigh less than the threshold.
 
-    One equi-join on (block, column, token): the hash partitioning of a token's records is
-    what candidate generation and scoring share; adaptive execution splits a hot token's
-    rows. Sums combine before the shuffle by pair.
+    Adds ``rest``, what those others weigh: a pair that shares no rare token scores that much at most.
     """
+    w = Window.partitionBy("id", "block").orderBy(F.desc("df"), "src_column", "token").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    least = F.lit(threshold - 2 * SLACK)
+    if strategy.on_missing == "renormalise":  # the columns present on either side weigh as much as the lhs's own, or more
+        own = _presence(left, strategy)
+        present = F.lit(0.0)
+        for i, x in enumerate(strategy.weight_of().values()):
+            present = present + F.when(F.col("mask").bitwiseAND(F.lit(1 << i)) != 0, F.lit(float(x))).otherwise(0.0)
+        left = left.join(own.select("id", present.alias("_z")), "id")
+        least = least * F.col("_z")
+    marked = left.withColumn("rare", F.sum("part").over(w) >= least)
+    rest = F.sum(F.when(F.col("rare"), 0.0).otherwise(F.col("part"))).over(Window.partitionBy("id", "block"))
+    return marked.withColumn("rest", rest).withColumn("least", least).drop("_z")
+
+
+def _per_block(joined: DataFrame) -> DataFrame:
+    return joined.groupBy("lhs_id", "rhs_id", "block").agg(F.sum("part").alias("score"), F.sum("rip").alias("matched"))
+
+
+def _through_rare(left: DataFrame, right: DataFrame, strategy: SearchStrategy, threshold: float) -> DataFrame | None:
+    """Sums by pair and block for the pairs that can reach the threshold, or None where joining all tokens makes fewer rows.
+
+    The rare tokens alone are joined. What a pair shares of them, and all of the lhs's others,
+    bounds its score; the others are looked up only for pairs whose bound reaches the threshold.
+    """
+    marked = stash(_suffixes(left, strategy, threshold))
+    width = marked.groupBy("id", "block").agg(F.count_if(~F.col("rare")).alias("others"))
+    sides = right.groupBy(*KEY).agg(F.count("*").alias("dr"))
+    per = marked.groupBy(*KEY).agg(F.count("*").alias("dl"), F.count_if(F.col("rare")).alias("dp"))
+    mass = per.join(sides, KEY).agg(F.sum((F.col("dl") * F.col("dr")).cast("double")).alias("all"), F.sum((F.col("dp") * F.col("dr")).cast("double")).alias("rare")).first()
+    others = width.agg(F.avg("others").alias("x")).first()["x"] or 0.0
+    if mass["all"] is None or mass["rare"] * (1.0 + others) > mass["all"]:
+        return None
+    r = right.select(F.col("id").alias("rhs_id"), *KEY)
+    named = marked.withColumnRenamed("id", "lhs_id")
+    cross = "side" in left.columns
+    met = named.where("rare").join(r, KEY)
+    if not cross:
+        met = met.where("lhs_id <> rhs_id")
+    met = met.groupBy("lhs_id", "rhs_id", "block").agg(F.sum("part").alias("score"), F.sum("rip").alias("matched"), F.first("rest").alias("rest"), F.first("least").alias("least"))
+    met = stash(met.where(F.col("score") + F.col("rest") >= F.col("least")))
+    more = met.select("lhs_id", "rhs_id", "block").join(named.where("not rare").select("lhs_id", *KEY, "part", "rip"), ["lhs_id", "block"]).join(r, ["rhs_id", *KEY])
+    sums = met.select("lhs_id", "rhs_id", "block", F.col("score").alias("part"), F.col("matched").alias("rip")).unionByName(more.select("lhs_id", "rhs_id", "block", "part", "rip"))
+    return _per_block(sums)
+
+
+def _met_in_blocks(rows: DataFrame) -> DataFrame:
+    """Sums by pair and block where blocks are small: the few records of a token are listed and paired in place."""
+    one = F.struct("id", "rip", "part")
+    of = (lambda x: F.collect_list(F.when(F.col("side") == x, one))) if "side" in rows.columns else lambda x: F.collect_list(one)
+    met = rows.groupBy(*KEY).agg(of("base").alias("l"), of("target").alias("r"))
+    pairs = met.select("block", F.explode("l").alias("l"), "r").select("block", "l", F.explode("r").alias("r"))
+    if "side" not in rows.columns:
+        pairs = pairs.where("l.id <> r.id")
+    return _per_block(pairs.select(F.col("l.id").alias("lhs_id"), F.col("r.id").alias("rhs_id"), "block", "l.rip", "l.part"))
+
+
+def score_pairs(index: Index, strategy: SearchStrategy, threshold: float | None = None) -> DataFrame:
+    """``lhs_id, rhs_id, score`` of pairs that share a token; directed, lhs weights count.
+
+    With a ``threshold`` pairs below it may be missing: candidates then come from each
+    record's rarest tokens only, exactly. Without one, or where potentials can be negative,
+    one equi-join on (block, column, token) makes all pairs; adaptive execution splits a hot
+    token's rows. Sums combine before the shuffle by pair.
+    """
+    small = index.rows is not None
     rows = index.weighted()
+    rows = rows if small and not strategy.feedback_strength and strategy.on_missing != "renormalise" else stash(rows)
     cross = "side" in rows.columns
     left = rows.where("side = 'base'") if cross else rows
     right = rows.where("side = 'target'") if cross else rows
-    left = relative_potential(left, strategy)
-    l = left.select(F.col("id").alias("lhs_id"), *KEY, "rip", (F.col("rip") * weight_column(strategy)).alias("part"))  # noqa: E741
-    r = right.select(F.col("id").alias("rhs_id"), *KEY)
-    joined = l.join(r, KEY)
-    if not cross:
-        joined = joined.where("lhs_id <> rhs_id")
-    per_block = joined.groupBy("lhs_id", "rhs_id", "block").agg(F.sum("part").alias("score"), *([F.sum("rip").alias("matched")] if strategy.feedback_strength else []))
+    left = relative_potential(left, strategy).withColumn("part", F.col("rip") * weight_column(strategy))
+    per_block = None
+    if small:
+        per_block = _met_in_blocks(relative_potential(rows, strategy).withColumn("part", F.col("rip") * weight_column(strategy)))
+    elif threshold and strategy.rarity != "bm25":
+        per_block = _through_rare(left, right, strategy, threshold)
+    if per_block is None:
+        l = left.select(F.col("id").alias("lhs_id"), *KEY, "rip", "part")  # noqa: E741
+        r = right.select(F.col("id").alias("rhs_id"), *KEY)
+        joined = l.join(r, KEY)
+        if not cross:
+            joined = joined.where("lhs_id <> rhs_id")
+        per_block = _per_block(joined)
     if strategy.feedback_strength:
         total = left.groupBy(F.col("id").alias("lhs_id"), "block").agg(F.sum("rip").alias("total"))
         s = strategy.feedback_strength

@@ -33,7 +33,7 @@ def _override(strategy, weights, threshold):
 def duplicate_links(df: DataFrame, id: str, strategy) -> DataFrame:
     """``lhs_id, rhs_id, score`` of the links a strategy finds inside a table."""
     if isinstance(strategy, SearchStrategy):
-        return best_pairs(score_pairs(build_index(df, id, strategy), strategy), strategy)
+        return best_pairs(score_pairs(build_index(df, id, strategy), strategy, strategy.threshold), strategy)
     if isinstance(strategy, ExactStrategy):
         links = equal_links(df, id, strategy)
         if strategy.containment != "off":
@@ -62,7 +62,7 @@ def detect_duplicates(df: DataFrame, id: str, strategy, weights: dict | None = N
 def candidate_pairs(base: DataFrame, target: DataFrame, base_id: str, target_id: str, strategy) -> DataFrame:
     """``lhs_id, rhs_id, score`` of base records and their candidates."""
     if isinstance(strategy, SearchStrategy):
-        return best_pairs(score_pairs(build_cross_index(base, target, base_id, target_id, strategy), strategy), strategy)
+        return best_pairs(score_pairs(build_cross_index(base, target, base_id, target_id, strategy), strategy, strategy.threshold), strategy)
     if isinstance(strategy, ExactStrategy):
         pairs = equal_pairs(base, base_id, target, target_id, strategy)
         if strategy.containment != "off":
