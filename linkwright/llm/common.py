@@ -19,6 +19,12 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
+def with_new(rows, columns: list[str], new: dict[str, Column]):
+    """The columns of the struct ``row``, those named in ``new`` replaced in place, the rest of ``new`` behind."""
+    kept = [new[c].alias(c) if c in new else F.col("row").getField(c).alias(c) for c in columns]
+    return rows.select(*kept, *[v.alias(n) for n, v in new.items() if n not in columns])
+
+
 def table(spark, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

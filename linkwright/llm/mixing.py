@@ -141,9 +141,7 @@ def mix_sources(
     head = narrow.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("words")).first()
     buckets = max(64, math.ceil(head["n"] / rows_per_bucket))
     targets = stash(source_targets(narrow, weights, share, max_repeats).coalesce(1))
-    queued = _queued(narrow, targets, buckets)
-    if not carry:
-        queued = stash(queued)
+    queued = stash(_queued(narrow, targets, buckets))
     # Float sums of the targets may miss the whole by an ulp; the budget is the words asked for, or all there are.
     most = min(int(head["words"] * share) if share != 1.0 else head["words"], max_repeats * head["words"])
     limit, last = _cutoff(queued, most, max_repeats, max(1024, buckets))

@@ -11,6 +11,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkwright.llm.common import n_words
+from linkwright.plans.runtime import stash
+
+#: About as many rows of one size are ranked in one task, were all of that size.
+ROWS_PER_SALT = 50_000
 
 __all__ = ["PackingPlan", "plan_packing", "pack_documents", "default_cost"]
 
@@ -41,7 +45,8 @@ def plan_packing(histogram: dict[int, int], lengths: tuple[int, ...] = (512, 102
     and so are bins with the same room, so whole runs move at once. The work and the plan
     depend on the largest length only, never on the number of documents.
 
-    A piece goes to the open bin with the least room that holds it. If none does, the bin
+    A piece goes to the open bin with the least room that holds it, of several with the same
+    room to the one that has had it longest. If none does, the bin
     size is opened whose cost per token it can expect to hold is least: the pieces of this
     size that fit, topped up from the smaller pieces still waiting. At the end each bin
     shrinks to the smallest permitted length that holds its contents.
@@ -59,14 +64,17 @@ def plan_packing(histogram: dict[int, int], lengths: tuple[int, ...] = (512, 102
     runs: dict[int, deque] = {}  # room -> (first bin, bins, tokens in each)
     closed: list[tuple[int, int]] = []
 
-    def put(room: int, run: tuple[int, int, int]) -> None:
+    def put(room: int, run: tuple[int, int, int], front: bool = False) -> None:
         if room == 0:
             closed.append((run[0], run[2]))
             return
         if room not in runs:
             runs[room] = deque()
             bisect.insort(rooms, room)
-        runs[room].append(run)
+        if front:
+            runs[room].appendleft(run)
+        else:
+            runs[room].append(run)
 
     def take(s: int, rank: int, run: tuple[int, int, int], room: int, left: int) -> int:
         """Fill the run's bins one behind the other; how many pieces went in."""
@@ -84,7 +92,7 @@ def plan_packing(histogram: dict[int, int], lengths: tuple[int, ...] = (512, 102
         if rest:
             put(room - rest * s, (start + full, 1, fill + rest * s))
         if untouched := bins - full - bool(rest):
-            put(room, (start + full + bool(rest), untouched, fill))
+            put(room, (start + full + bool(rest), untouched, fill), front=True)
         return n
 
     for s in sorted(histogram, reverse=True):
@@ -140,14 +148,15 @@ def pack_documents(
     One row per piece: ``doc_id, piece, first_word, n_words, bin_id, bin_offset, seq_len,
     bin_words``. Two passes over sizes only: the histogram (at most as many rows as the
     largest length) goes to the driver and is planned there; then each piece finds its rank
-    among the pieces of its size (counted in ``salts`` parts, so a common size is not one
+    among the pieces of its size (counted in ``salts`` parts, more on large tables, so a common size is not one
     task) and looks up its bin in the plan, whose size the largest length bounds.
 
     An empty or null text gives one row without a bin. Rows that repeat are packed each;
     an empty table gives no rows.
     """
     top = max(lengths)
-    sizes = docs.select("doc_id", n_words("text").alias("words"))
+    sizes = stash(docs.select("doc_id", n_words("text").alias("words")))  # the texts are read once
+    salts = max(salts, -(-sizes.count() // ROWS_PER_SALT))
     pieces = sizes.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(F.col("words") / top) - 1, F.lit(0).cast("long")))))
     pieces = pieces.select(
         "doc_id",

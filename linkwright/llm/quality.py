@@ -6,9 +6,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from linkwright.llm.common import with_new
+
 __all__ = ["encode_passages", "GatedAttention", "fit_quality", "quality_documents"]
 
 PASSAGE = 512  # bytes
@@ -123,15 +125,21 @@ class GatedAttention:
                     self.p[k] -= rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
 
 
-def fit_quality(docs: DataFrame, labelled: DataFrame, max_docs: int = 4_000, hidden: int = 16, attention: int = 8, steps: int = 400, seed: int = 5) -> GatedAttention | None:
-    """Learn from ``labelled`` (``doc_id, label`` 0/1) over ``docs``; None without both labels' texts.
+def fit_quality(docs: DataFrame, labelled: DataFrame, max_docs: int = 4_000, max_passages: int = 120_000, hidden: int = 16, attention: int = 8, steps: int = 400, seed: int = 5) -> GatedAttention | None:
+    """Learn from ``labelled`` (``doc_id, label`` 0/1) over ``docs``; None without any labelled text.
 
-    Bound: the ``max_docs`` labelled documents with the least hash of the id; their passage
-    encodings are gathered on the driver (about 2 kB a passage).
+    Bounds: the ``max_docs`` labelled documents with the least hash of the id, in that order as
+    far as ``max_passages`` passages in all, none of more than an eighth of these; their
+    passage encodings are gathered on the driver (about 1 kB a passage).
     """
     per_id = labelled.where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
     chosen = per_id.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
     texts = docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", "text", "label")
+    texts = texts.withColumn("_n", F.greatest(F.lit(1), F.ceil(F.coalesce(F.octet_length("text"), F.lit(0)) / PASSAGE)))
+    texts = texts.where(F.col("_n") <= max_passages // 8).withColumn("_k", F.xxhash64("doc_id"))
+    # at most as many rows as documents are chosen, or few more where ids repeat
+    sums = texts.groupBy("_k", "doc_id").agg(F.sum("_n").alias("_n")).withColumn("_c", F.sum("_n").over(Window.orderBy("_k", "doc_id")))
+    texts = texts.join(sums.where(F.col("_c") <= max_passages).select("doc_id"), "doc_id", "left_semi").select("doc_id", "text", "label")
 
     def encoded(batches):
         for pdf in batches:
@@ -176,8 +184,8 @@ def quality_documents(docs: DataFrame, labelled: DataFrame, threshold: float = 0
     """``docs`` with ``score`` and ``predicted`` added (replacing columns so named).
 
     A null or empty text is one empty passage; rows that repeat are scored each; without
-    labels everything scores 0.5.
+    labels everything scores 0.5, and with one label only all texts lean to that one.
     """
     model = fit_quality(docs, labelled, **fit)
-    out = docs.withColumn("_s", score_quality(docs, model))
-    return out.withColumns({"score": F.col("_s"), "predicted": (F.col("_s") >= threshold).cast("int")}).drop("_s")
+    scored = docs.select(F.struct("*").alias("row"), score_quality(docs, model).alias("s"))
+    return with_new(scored, docs.columns, {"score": F.col("s"), "predicted": (F.col("s") >= threshold).cast("int")})

@@ -164,12 +164,12 @@ def drop_near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 3, buc
     chosen = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t", "n")).alias("r"))
     keep = stash(chosen.select(F.col("r.doc_id").alias("_d"), F.col("r.t").alias("_t"), F.col("r.n").alias("_n")))
     # The texts cross the network once and are never sorted: the other side, ids and hashes, is what is hashed.
-    keyed = docs.withColumn("_h", F.xxhash64("text"))
-    kept = keyed.join(keep.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_t")))
-    once = kept.where("_n = 1").select(*docs.columns)
+    # Rows travel as one struct, so that no name of theirs meets one of ours.
+    keyed = docs.select(F.struct("*").alias("row"), F.xxhash64("text").alias("_h"))
+    kept = keyed.join(keep.hint("shuffle_hash"), F.col("row.doc_id").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_t")))
+    once = kept.where("_n = 1").select("row.*")
     if keep.where("_n > 1").isEmpty():
         return once
     # rows that agree in id and text: one of them
-    rest = F.struct(*[F.col(c) for c in docs.columns if c != "doc_id"])
-    same = kept.where("_n > 1").groupBy("doc_id", "_h").agg(F.min(rest).alias("_r"))
-    return once.unionByName(same.select(*[F.col(c) if c == "doc_id" else F.col("_r")[c].alias(c) for c in docs.columns]))
+    same = kept.where("_n > 1").groupBy("_d", "_h").agg(F.min("row").alias("row"))
+    return once.unionByName(same.select("row.*"))

@@ -77,6 +77,10 @@ def decode_adpcm(blocks: np.ndarray) -> np.ndarray:
     return out.T
 
 
+#: Blocks advanced together, and samples resampled at once, whatever the length of a file.
+LANES, SAMPLES = 1 << 13, 1 << 20
+
+
 @functools.cache
 def _taps(factor: int, half: int = 8) -> np.ndarray:
     t = np.arange(-half * factor, half * factor + 1) / factor
@@ -85,13 +89,18 @@ def _taps(factor: int, half: int = 8) -> np.ndarray:
 
 def resample(pcm: np.ndarray, factor: int = 2) -> np.ndarray:
     """PCM16 at ``factor`` times the rate: windowed-sinc interpolation, silence beyond both ends."""
-    if not len(pcm):
-        return pcm.astype(np.int16)
-    up = np.zeros(len(pcm) * factor)
-    up[::factor] = pcm
+    out = np.empty(len(pcm) * factor, np.int16)
     taps = _taps(factor)
     half = len(taps) // 2
-    return np.clip(np.rint(np.convolve(up, taps)[half : half + len(up)]), -32768, 32767).astype(np.int16)
+    reach = half // factor
+    for a in range(0, len(pcm), SAMPLES):
+        first, b = max(0, a - reach), min(len(pcm), a + SAMPLES)
+        part = pcm[first : b + reach]
+        up = np.zeros(len(part) * factor)
+        up[::factor] = part
+        start = half + (a - first) * factor
+        out[a * factor : b * factor] = np.clip(np.rint(np.convolve(up, taps)[start : start + (b - a) * factor]), -32768, 32767)
+    return out
 
 
 def pad_payload(text: str | None) -> bytes:
@@ -101,14 +110,20 @@ def pad_payload(text: str | None) -> bytes:
 
 
 def write_media(payload: bytes, codec: str, n_bytes: int) -> bytes:
-    """A WAVE file with ``payload`` as its coded samples; a ``fact`` chunk holds the unpadded length."""
+    """A WAVE file with ``payload`` as its coded samples; ``fact`` holds their number, a chunk ``nbyt`` the unpadded length.
+
+    What does not fit the 32 bits of a size is written modulo 2^32: such a file is for ``read_media`` alone.
+    """
     align = BLOCK if codec == "adpcm" else 1
     per_block = (BLOCK - 4) * 2 + 1
     bits, extra = (4, struct.pack("<HH", 2, per_block)) if codec == "adpcm" else (8, struct.pack("<H", 0))
     rate = RATE * BLOCK // per_block if codec == "adpcm" else RATE
     fmt = struct.pack("<HHIIHH", FORMAT_CODES[codec], 1, RATE, rate, align, bits) + extra
-    chunks = b"".join(tag + struct.pack("<I", len(body)) + body for tag, body in ((b"fmt ", fmt), (b"fact", struct.pack("<Q", n_bytes)), (b"data", payload)))
-    return b"RIFF" + struct.pack("<I", 4 + len(chunks)) + b"WAVE" + chunks
+    samples = len(payload) // BLOCK * per_block if codec == "adpcm" else len(payload)
+    parts = ((b"fmt ", fmt), (b"fact", struct.pack("<I", samples & 0xFFFFFFFF)), (b"nbyt", struct.pack("<Q", n_bytes)), (b"data", payload))
+    pad = lambda body: b"\0" * (len(body) % 2)  # noqa: E731  (chunks start at even places)
+    chunks = b"".join(tag + struct.pack("<I", len(body) & 0xFFFFFFFF) + body + pad(body) for tag, body in parts)
+    return b"RIFF" + struct.pack("<I", 4 + len(chunks) & 0xFFFFFFFF) + b"WAVE" + chunks
 
 
 def read_media(media: bytes) -> tuple[str, int, bytes]:
@@ -118,11 +133,12 @@ def read_media(media: bytes) -> tuple[str, int, bytes]:
     at, found = 12, {}
     while at + 8 <= len(media):
         (size,) = struct.unpack_from("<I", media, at + 4)
-        found[media[at : at + 4]] = media[at + 8 : at + 8 + size]
-        at += 8 + size
+        found[media[at : at + 4]] = media[at + 8 : at + 8 + size] if media[at : at + 4] != b"data" else media[at + 8 :]
+        at += 8 + size + size % 2
     (code,) = struct.unpack_from("<H", found[b"fmt "])
     codec = next(name for name, c in FORMAT_CODES.items() if c == code)
-    return codec, struct.unpack("<Q", found[b"fact"])[0], found[b"data"]
+    n_bytes = struct.unpack("<Q", found[b"nbyt"])[0]
+    return codec, n_bytes, found[b"data"]
 
 
 def decode(codec: str, payload: bytes) -> np.ndarray:
@@ -138,7 +154,8 @@ def _decode_all(coded: list[tuple[str, bytes]]) -> list[np.ndarray]:
     out: list = [None if c == "adpcm" else decode(c, p) for c, p in coded]
     mine = [i for i, (c, _) in enumerate(coded) if c == "adpcm"]
     if mine:
-        pcm = decode_adpcm(np.frombuffer(b"".join(coded[i][1] for i in mine), np.uint8).reshape(-1, BLOCK))
+        blocks = np.frombuffer(b"".join(coded[i][1] for i in mine), np.uint8).reshape(-1, BLOCK)
+        pcm = np.concatenate([decode_adpcm(blocks[a : a + LANES]) for a in range(0, len(blocks), LANES)])
         at = 0
         for i in mine:
             n = len(coded[i][1]) // BLOCK
@@ -191,11 +208,15 @@ def resampled_pcm(media: Column, factor: int = 2) -> Column:
     return udf(media)
 
 
-DIGEST = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, codec string, pcm_bytes long, pcm_crc32 long, feature string"
+DIGEST = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, codec string, pcm_bytes long, pcm_crc32 long, feature string, pcm binary"
+
+
+def _square_sum(pcm: np.ndarray) -> float:
+    return sum(float(np.square(pcm[a : a + SAMPLES].astype(np.float64)).sum()) for a in range(0, len(pcm), SAMPLES))
 
 
 def telephony_digest(media: Column, factor: int = 2) -> Column:
-    """A struct of what reading the stored file back gives: lengths, digests, and features of the PCM.
+    """A struct of what reading the stored file back gives: lengths, digests, features of the PCM, and the resampled PCM.
 
     ``feature``: codec, seconds, root mean square, peak, zero crossings of the 8 kHz signal.
     """
@@ -207,11 +228,10 @@ def telephony_digest(media: Column, factor: int = 2) -> Column:
         for a, b in _slices(items):
             read = [read_media(x) for x in items[a:b]]
             for x, (codec, n_bytes, payload), pcm in zip(items[a:b], read, _decode_all([r[::2] for r in read]), strict=True):
-                wide = pcm.astype(np.float64)
                 stored = resample(pcm, factor).astype("<i2").tobytes()
                 crossings = int(np.count_nonzero(np.diff(np.signbit(pcm))))
-                feature = f"{codec};s={len(pcm) / RATE:.4f};rms={np.sqrt(np.mean(wide * wide)):.3f};peak={int(np.abs(wide).max())};zc={crossings}"
-                rows.append((n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(x), hashlib.sha256(x).hexdigest(), codec, len(stored), zlib.crc32(stored), feature))
+                feature = f"{codec};s={len(pcm) / RATE:.4f};rms={np.sqrt(_square_sum(pcm) / len(pcm)):.3f};peak={max(-int(pcm.min()), int(pcm.max()))};zc={crossings}"
+                rows.append((n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(x), hashlib.sha256(x).hexdigest(), codec, len(stored), zlib.crc32(stored), feature, stored))
         return pd.DataFrame(rows, columns=[f.split(" ")[0] for f in DIGEST.split(", ")])
 
     return udf(media)

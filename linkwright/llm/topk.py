@@ -22,7 +22,8 @@ def quantize(vectors: DataFrame, scale: int = 1024, vec_id: str = "vec_id", embe
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
-    return np.array(column.tolist(), dtype=np.int64).reshape(len(column), -1)
+    lists = column.tolist()
+    return np.array(lists, dtype=np.int64).reshape(len(lists), len(lists[0]) if lists else 0)
 
 
 def _product(q: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -48,7 +49,8 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, lists: int =
     full. Work is cut in blocks of queries and rows, whatever the number of either.
 
     Ties go to the smaller id. Ids that repeat are rows of their own. Fewer than k rows: all
-    of them. Vectors of another length than the query's raise an error.
+    of them. A vector of another length than the query's has no product with it and is none
+    of its candidates; vectors without components score 0 with one another.
     """
     rows = stash(vectors.select("vec_id", "v"))
     n, width = rows.count(), rows.agg(F.max(F.size("v"))).first()[0] or 0
@@ -59,11 +61,11 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, lists: int =
     blocks, qblocks = max(1, -(-n // vector_block)), max(1, -(-nq // query_block))
     block = lambda count: F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(count)).cast("int")
     part_of = F.explode(F.array(*[F.struct(F.lit(j).alias("list"), F.slice("v", a + 1, b - a).alias("p")) for j, (a, b) in enumerate(parts)]))
-    listed = rows.select("vec_id", block(blocks).alias("block"), part_of.alias("x")).select("block", "vec_id", F.col("x.list").alias("list"), "x.p")
+    listed = rows.select("vec_id", F.size("v").alias("len"), block(blocks).alias("block"), part_of.alias("x")).select("len", "block", "vec_id", F.col("x.list").alias("list"), "x.p")
     listed = listed.withColumn("qblock", F.explode(F.sequence(F.lit(0), F.lit(qblocks - 1))))
-    wanted = asked.select("vec_id", block(qblocks).alias("qblock"), part_of.alias("x")).select("qblock", F.col("vec_id").alias("query_id"), F.col("x.list").alias("list"), "x.p")
+    wanted = asked.select("vec_id", F.size("v").alias("len"), block(qblocks).alias("qblock"), part_of.alias("x")).select("len", "qblock", F.col("vec_id").alias("query_id"), F.col("x.list").alias("list"), "x.p")
     spread = lambda df: df.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    keys = ["list", "block", "qblock"]
+    keys = ["len", "list", "block", "qblock"]
     schema = "list int, query_id long, vec_id long, partial long"
 
     def local_best(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
@@ -115,12 +117,6 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, lists: int =
 def _score(pairs: DataFrame, asked: DataFrame, rows: DataFrame) -> DataFrame:
     """The whole score of each pair of ids, for every row that has them."""
     q = asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv")).distinct()
-    joined = pairs.join(rows, "vec_id").join(q, "query_id")
-
-    @F.pandas_udf("long")
-    def dot(a: pd.Series, b: pd.Series) -> pd.Series:
-        if not len(a):
-            return pd.Series([], dtype="int64")
-        return pd.Series((_matrix(a) * _matrix(b)).sum(axis=1))
-
-    return joined.select("query_id", "vec_id", dot("qv", "v").alias("score"))
+    joined = pairs.join(rows, "vec_id").join(q, "query_id").where(F.size("qv") == F.size("v"))
+    dot = F.aggregate(F.zip_with("qv", "v", lambda a, b: a * b), F.lit(0).cast("long"), lambda s, x: s + x)
+    return joined.select("query_id", "vec_id", dot.alias("score"))

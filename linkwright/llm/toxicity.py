@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from linkwright.llm.common import with_new
 from linkwright.plans.runtime import stash
 
 __all__ = ["text_terms", "BlockMaxIndex", "ToxicityModel", "fit_toxicity", "score_toxicity"]
@@ -241,5 +242,5 @@ def toxicity_documents(docs: DataFrame, labelled: DataFrame, threshold: float =
     rows that repeat are scored each; without labels everything scores 0.01.
     """
     model = fit_toxicity(docs, labelled, **fit)
-    out = docs.withColumn("_s", score_toxicity(docs, model))
-    return out.withColumns({"score": F.col("_s.score"), "evidence": F.col("_s.evidence"), "predicted": (F.col("_s.score") >= threshold).cast("int")}).drop("_s")
+    scored = docs.select(F.struct("*").alias("row"), score_toxicity(docs, model).alias("s"))
+    return with_new(scored, docs.columns, {"score": F.col("s.score"), "evidence": F.col("s.evidence"), "predicted": (F.col("s.score") >= threshold).cast("int")})

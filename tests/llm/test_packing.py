@@ -1,3 +1,4 @@
+import itertools
 import random
 
 from hypothesis import given, settings
@@ -81,3 +82,63 @@ def test_documents(make):
     assert pack_documents(make([None])).first()["bin_id"] is None
     twice = df.union(df)
     assert pack_documents(twice, lengths=(8, 16, 32)).count() == 2 * len(rows)
+
+
+def placed_one_by_one(histogram, lengths, cost=default_cost):
+    """Best fit with every bin and every piece by itself: ``{(sorted contents): bins}``."""
+    bins, waiting, clock = [], dict(histogram), itertools.count()
+    for s in sorted(histogram, reverse=True):
+        while waiting[s]:
+            fits = [b for b in bins if b[0] >= s]
+            if fits:
+                b = min(fits, key=lambda b: (b[0], b[2]))
+                b[0] -= s
+                b[1].append(s)
+                b[2] = next(clock)
+                waiting[s] -= 1
+                continue
+            choices = []
+            for length in lengths:
+                if length >= s:
+                    own, opened = min(waiting[s], length // s), -(-waiting[s] // (length // s))
+                    spare = length - own * s
+                    smaller = sum(x * n for x, n in waiting.items() if x < s and x <= spare)
+                    choices.append((cost(length) / (own * s + min(spare, smaller / opened)), length, opened))
+            _, length, opened = min(choices)
+            bins += [[length, [], next(clock)] for _ in range(opened)]
+    out = {}
+    for _, items, _ in bins:
+        fill = sum(items)
+        key = (tuple(sorted(items)), min(x for x in lengths if x >= fill))
+        out[key] = out.get(key, 0) + 1
+    return out
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.dictionaries(st.integers(1, 32), st.integers(1, 25), max_size=10))
+def test_plan_against_one_piece_at_a_time(histogram):
+    plan, bins = unroll(histogram, (8, 16, 32))
+    got = {}
+    for b, items in bins.items():
+        run = max(i for i, x in enumerate(plan.run_bin) if x <= b)
+        key = (tuple(sorted(s for _, s in items)), plan.run_length[run])
+        got[key] = got.get(key, 0) + 1
+    assert got == placed_one_by_one(histogram, (8, 16, 32))
+
+
+def test_documents_against_one_piece_at_a_time(make):
+    r = random.Random(12)
+    texts = ["w " * min(90, int(r.lognormvariate(2.2, 1))) for _ in range(300)] + ODD[:9]
+    histogram = {}
+    for t in texts:
+        n = len((t or "").split())
+        for size in [32] * (n // 32) + [n % 32] * (n % 32 > 0):
+            histogram[size] = histogram.get(size, 0) + 1
+    bins = {}
+    for x in pack_documents(make(texts), lengths=(8, 16, 32)).where("bin_id is not null").collect():
+        bins.setdefault((x["bin_id"], x["seq_len"]), []).append(x["n_words"])
+    got = {}
+    for (_, length), items in bins.items():
+        key = (tuple(sorted(items)), length)
+        got[key] = got.get(key, 0) + 1
+    assert got == placed_one_by_one(histogram, (8, 16, 32))

@@ -217,3 +217,41 @@ def test_language_model_learns_from_every_training_word(make):
         other[i] = " ".join(sorted(texts[i].split()))
         after = weights(other)
         assert any(not np.array_equal(before[k], after[k]) for k in before), i
+
+
+def test_quality_against_one_passage_at_a_time(make, spark):
+    """The scores of the query, recomputed by scalar loops from the fitted weights."""
+    texts, labels = corpus(60)
+    texts = [t * (1 + i % 5) for i, t in enumerate(texts)] + ODD
+    df = make(texts)
+    told = spark.createDataFrame(list(enumerate(labels)), "doc_id long, label int")
+    model = q.fit_quality(df, told, steps=20)
+    rows = {x["doc_id"]: x["score"] for x in q.quality_documents(df, told, steps=20).collect()}
+    p, sigmoid = model.p, lambda z: 1 / (1 + math.exp(-z))
+    for i, text in enumerate(texts):
+        data = (text or "").encode()
+        passages, counts = q.encode_passages([text])
+        assert counts[0] == len(passages) == max(1, -(-len(data) // q.PASSAGE))
+        hs, weights = [], []
+        for x in passages:
+            x = [min(8, max(-8, (a - m) / s)) for a, m, s in zip(x, model.mean, model.scale, strict=True)]
+            h = [max(0.0, sum(a * w for a, w in zip(x, p["W"][:, j], strict=True)) + p["b"][j]) for j in range(len(p["b"]))]
+            gate = 0.0
+            for k in range(len(p["w"])):
+                v, u = (sum(a * w for a, w in zip(h, p[name][:, k], strict=True)) for name in "VU")
+                gate += p["w"][k] * math.tanh(v) * sigmoid(u)
+            hs.append(h)
+            weights.append(math.exp(gate))
+        z = [sum(w * h[j] for w, h in zip(weights, hs, strict=True)) / sum(weights) for j in range(len(p["c"]))]
+        want = sigmoid(sum(a * c for a, c in zip(z, p["c"], strict=True)) + p["d"][0])
+        assert rows[i] == pytest.approx(want, abs=1e-4), i
+
+
+def test_columns_of_any_name_survive(spark):
+    df = spark.createDataFrame([(1, "good text", "a", "b", "c"), (2, None, "d", "e", "f")], "doc_id long, text string, _s string, row string, score string")
+    told = spark.createDataFrame([(1, 1)], "doc_id long, label int")
+    for fn in (q.quality_documents, tox.toxicity_documents):
+        out = fn(df, told)
+        assert out.columns[:5] == df.columns
+        assert {(r["doc_id"], r["_s"], r["row"]) for r in out.collect()} == {(1, "a", "b"), (2, "d", "e")}
+        assert dict(out.dtypes)["score"] == "double"

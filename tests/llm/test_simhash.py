@@ -86,3 +86,15 @@ def test_hot_buckets_are_refiled_without_losing_links(spark):
         got = {x["node"]: x["component"] for x in connected_components(links).collect()}
         assert {f: got.get(f, f) for f in signed} == want, limit
     assert links.select(F.count("*")).first()[0] < 20 * len(fps)
+
+
+def test_columns_of_any_name_keep_their_values(spark):
+    names = ["_h", "_t", "_n", "_d", "_r", "row", "fp", "rep", "component", "n"]
+    rows = [(i, t, *[f"{n}{i}" for n in names]) for i, t in enumerate(["a b c d e", "a b c d e", "quite another text", None])]
+    rows.append((1, "a b c d e", *[f"{n}9" for n in names]))  # equal in id and text
+    df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    kept = sh.drop_near_duplicates(df)
+    assert kept.columns == df.columns
+    assert sorted(map(tuple, kept.collect())) == [rows[0], rows[2], rows[3]]
+    twice = df.where("doc_id = 1")
+    assert list(map(tuple, sh.drop_near_duplicates(twice).collect())) == [rows[1]]

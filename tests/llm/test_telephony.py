@@ -70,3 +70,30 @@ def test_documents(make):
     assert t.telephony_documents(df.limit(0)).count() == 0
     pcm = df.where("doc_id = 3").select(t.resampled_pcm(t.store_telephony(F.col("text"), "mulaw")).alias("p")).first()["p"]
     assert len(pcm) == 192 * 2 * 2
+
+
+def test_long_files_in_pieces(monkeypatch):
+    r = np.random.default_rng(3)
+    x = r.integers(-32768, 32767, 5000).astype(np.int16)
+    whole = t.resample(x, 2)
+    coded = [(c, r.integers(0, 256, 192 * 50, dtype=np.uint8).tobytes()) for c in ("adpcm", "mulaw", "adpcm")]
+    decoded = t._decode_all(coded)
+    monkeypatch.setattr(t, "SAMPLES", 700)
+    monkeypatch.setattr(t, "LANES", 7)
+    assert np.array_equal(t.resample(x, 2), whole)
+    assert all(np.array_equal(a, b) for a, b in zip(t._decode_all(coded), decoded, strict=True))
+
+
+def test_wave_chunks():
+    payload = t.pad_payload("abc" * 300)
+    for codec, samples in (("mulaw", len(payload)), ("adpcm", len(payload) // 192 * 377)):
+        media = t.write_media(payload, codec, 900)
+        assert int.from_bytes(media[4:8], "little") == len(media) - 8
+        at = media.index(b"fact")
+        assert media[at + 4 : at + 8] == b"\4\0\0\0" and int.from_bytes(media[at + 8 : at + 12], "little") == samples
+
+
+def test_stored_pcm_is_the_resampled_signal(make):
+    row = t.telephony_documents(make(["some words to store"])).first()
+    want = t.resample(t.decode(row["codec"], t.pad_payload("some words to store"))).astype("<i2").tobytes()
+    assert row["pcm"] == want and row["pcm_bytes"] == len(want) and row["pcm_crc32"] == zlib.crc32(want)

@@ -42,3 +42,15 @@ def test_large_numbers_stay_exact(spark):
     df = spark.createDataFrame(rows, "vec_id long, v array<long>")
     got = exact_topk(df, df.where("vec_id = 0"), 2).collect()
     assert sorted(map(tuple, got)) == brute(rows, rows[:1], 2)
+
+
+def test_lengths_that_differ_never_pair(spark):
+    r = np.random.default_rng(4)
+    rows = [(i, [int(c) for c in r.integers(-9, 9, i % 4)]) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, v array<long>")
+    got = exact_topk(df, df.where("vec_id % 7 = 0"), 10, query_block=4, vector_block=16).collect()
+    want = []
+    for n in range(4):
+        same = [x for x in rows if len(x[1]) == n]
+        want += brute(same, [x for x in same if x[0] % 7 == 0], 10)
+    assert sorted(map(tuple, got)) == sorted(want)
