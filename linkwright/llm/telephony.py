@@ -164,7 +164,7 @@ def _decode_all(coded: list[tuple[str, bytes]]) -> list[np.ndarray]:
     return out
 
 
-def _slices(items: list[bytes], most: int = 1 << 22):
+def _slices(items: list, most: int = 1 << 22):
     """Runs of files of a few MB, so that a batch of long ones is not decoded at once."""
     start = size = 0
     for i, x in enumerate(items):
@@ -176,18 +176,19 @@ def _slices(items: list[bytes], most: int = 1 << 22):
         yield start, len(items)
 
 
+def store_media(text: str | None, codec: str | None = None) -> bytes:
+    names = sorted(FORMAT_CODES)
+    payload = pad_payload(text)
+    kind = codec or names[zlib.crc32(payload) % len(names)]
+    return write_media(payload, kind, len(text.encode("utf-8", "surrogatepass")) if text else 0)
+
+
 def store_telephony(text: Column, codec: str | None = None) -> Column:
     """The stored file (binary). ``codec`` mulaw, alaw or adpcm; by default the payload's crc32 picks one."""
 
     @F.pandas_udf("binary")
     def udf(texts: pd.Series) -> pd.Series:
-        names = sorted(FORMAT_CODES)
-        out = []
-        for t in texts:
-            payload = pad_payload(t)
-            kind = codec or names[zlib.crc32(payload) % len(names)]
-            out.append(write_media(payload, kind, len(t.encode("utf-8", "surrogatepass")) if t else 0))
-        return pd.Series(out, dtype=object)
+        return pd.Series([store_media(t, codec) for t in texts], dtype=object)
 
     return udf(text)
 
@@ -223,24 +224,37 @@ def telephony_digest(media: Column, factor: int = 2) -> Column:
 
     @F.pandas_udf(DIGEST)
     def udf(files: pd.Series) -> pd.DataFrame:
-        rows = []
-        items = list(files)
-        for a, b in _slices(items):
-            read = [read_media(x) for x in items[a:b]]
-            for x, (codec, n_bytes, payload), pcm in zip(items[a:b], read, _decode_all([r[::2] for r in read]), strict=True):
-                stored = resample(pcm, factor).astype("<i2").tobytes()
-                crossings = int(np.count_nonzero(np.diff(np.signbit(pcm))))
-                feature = f"{codec};s={len(pcm) / RATE:.4f};rms={np.sqrt(_square_sum(pcm) / len(pcm)):.3f};peak={max(-int(pcm.min()), int(pcm.max()))};zc={crossings}"
-                rows.append((n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(x), hashlib.sha256(x).hexdigest(), codec, len(stored), zlib.crc32(stored), feature, stored))
+        rows = [r for a, b in _slices(list(files)) for r in digest_rows(list(files.iloc[a:b]), factor)]
         return pd.DataFrame(rows, columns=[f.split(" ")[0] for f in DIGEST.split(", ")])
 
     return udf(media)
 
 
+def digest_rows(files: list[bytes], factor: int = 2) -> list[tuple]:
+    """The values of ``DIGEST`` of each stored file."""
+    rows = []
+    read = [read_media(x) for x in files]
+    for x, (codec, n_bytes, payload), pcm in zip(files, read, _decode_all([r[::2] for r in read]), strict=True):
+        stored = resample(pcm, factor).astype("<i2").tobytes()
+        crossings = int(np.count_nonzero(np.diff(np.signbit(pcm))))
+        feature = f"{codec};s={len(pcm) / RATE:.4f};rms={np.sqrt(_square_sum(pcm) / len(pcm)):.3f};peak={max(-int(pcm.min()), int(pcm.max()))};zc={crossings}"
+        rows.append((n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(x), hashlib.sha256(x).hexdigest(), codec, len(stored), zlib.crc32(stored), feature, stored))
+    return rows
+
+
 def telephony_documents(docs: DataFrame) -> DataFrame:
     """Each text stored as a telephony file and read back: ``doc_id`` and the digest's columns, one row a row.
 
-    A null text is stored like the empty one: one block of blanks. Equal texts give equal values.
+    ``pcm`` is the resampled signal, stored. A null text is stored like the empty one: one block
+    of blanks. Equal texts give equal values. Rows are handed on a few MB of text at a time.
     """
-    stored = docs.select("doc_id", store_telephony(F.col("text")).alias("media"))
-    return stored.select("doc_id", telephony_digest(F.col("media")).alias("d")).select("doc_id", "d.*")
+    names = ["doc_id", *[f.split(" ")[0] for f in DIGEST.split(", ")]]
+
+    def run(batches):
+        for pdf in batches:
+            for a, b in _slices([t or "" for t in pdf["text"]], 1 << 20):
+                digests = digest_rows([store_media(t) for t in pdf["text"].iloc[a:b]])
+                yield pd.DataFrame([(i, *row) for i, row in zip(pdf["doc_id"].iloc[a:b], digests, strict=True)], columns=names)
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, {DIGEST}")
