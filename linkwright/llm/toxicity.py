@@ -2,129 +2,149 @@
 
 from __future__ import annotations
 
-import heapq
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkwright.llm.common import with_new
 from linkwright.plans.runtime import stash
 
-__all__ = ["text_terms", "BlockMaxIndex", "ToxicityModel", "fit_toxicity", "score_toxicity"]
+__all__ = ["text_terms", "BlockMaxIndex", "ToxicityModel", "fit_toxicity", "score_toxicity", "toxicity_documents"]
 
-PREFIXES = (4, 5)
-_BLANK = {ord(c): " " for c in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~\t\n\r\x0b\x0c"}
+_SPACED = bytes(32 if chr(i) in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" or i < 32 else i for i in range(256))
 
 
-def text_terms(text: str | None) -> Counter:
-    """Counts of the text's words (lower case, without ASCII punctuation) and of their first letters (``w4*``, ``w5*``)."""
-    words = Counter((text or "").lower().translate(_BLANK).split())
-    terms = Counter(words)
-    for n in PREFIXES:
-        for w, c in words.items():
-            if len(w) > n:
-                terms[w[:n] + "*"] += c
-    return terms
-
-
-def _known(text: str | None, vocabulary: dict[str, int]) -> dict[int, int]:
-    """Counts of the terms in ``vocabulary`` only."""
-    out: dict[int, int] = {}
-    words = Counter((text or "").lower().translate(_BLANK).split())
-    get = vocabulary.get
-    for w, c in words.items():
-        if (i := get(w)) is not None:
-            out[i] = out.get(i, 0) + c
-        n = len(w)
-        if n > 4:
-            if (i := get(w[:4] + "*")) is not None:
-                out[i] = out.get(i, 0) + c
-            if n > 5 and (i := get(w[:5] + "*")) is not None:
-                out[i] = out.get(i, 0) + c
-    return out
+def text_terms(text: str | None) -> list[bytes]:
+    """The text's words, repeats included: lower case, UTF-8, ASCII punctuation and controls taken as blanks."""
+    return text.lower().encode("utf-8", "replace").translate(_SPACED).split() if text else []
 
 
 class BlockMaxIndex:
-    """Postings by term over examples in blocks, with the largest weight of each term in each block.
+    """Examples in blocks; postings of most terms, and of the commonest the largest weight in each block.
 
-    A block's bound is the query's product with those maxima; blocks are opened from the
-    highest bound down until none can beat the k-th score found, so the k scores are exact.
+    ``top`` adds up the postings of a query's rarer terms. A block's bound is the best of these
+    sums in it and the query's product with the block's largest weights of common terms; the
+    blocks of the highest bounds are scored in full, then all whose bound reaches the k-th
+    score found, so the k scores are exact. Ties (to 12 digits) go to the smaller example.
     """
 
-    def __init__(self, vectors: list[dict[int, float]], n_terms: int, block: int = 64):
+    def __init__(self, vectors: list[dict[int, float]], n_terms: int, block: int = 64, common: int = 128):
+        sizes = np.array([len(v) for v in vectors], np.int64)
+        terms = np.fromiter((t for v in vectors for t in v), np.int64, int(sizes.sum()))
+        weights = np.fromiter((w for v in vectors for w in v.values()), np.float64, len(terms))
+        self._build(sizes, terms, weights, n_terms, block, common)
+
+    @classmethod
+    def of_arrays(cls, sizes: np.ndarray, terms: np.ndarray, weights: np.ndarray, n_terms: int, block: int = 64, common: int = 128) -> BlockMaxIndex:
+        """From the vectors' lengths and their terms and weights, one vector behind the other."""
+        index = cls.__new__(cls)
+        index._build(sizes, terms, weights, n_terms, block, common)
+        return index
+
+    def _build(self, sizes, terms, weights, n_terms, block, common) -> None:
+        n = len(sizes)
+        self.n, self.block, self.n_blocks = n, block, -(-n // block)
+        owner = np.repeat(np.arange(n), sizes)
         # Examples whose heaviest term is the same share blocks, which makes the bounds tight.
-        self.order = np.array(sorted(range(len(vectors)), key=lambda i: (max(vectors[i], key=lambda t: (vectors[i][t], -t)), i)), np.int64)
-        self.block, self.n_blocks = block, -(-len(vectors) // block)
-        self.maxima = np.zeros((n_terms, self.n_blocks), np.float32)
-        postings: list[list[tuple[int, float]]] = [[] for _ in range(n_terms)]
-        for place, i in enumerate(self.order.tolist()):
-            for t, w in vectors[i].items():
-                postings[t].append((place, w))
-                self.maxima[t, place // block] = max(self.maxima[t, place // block], np.float32(np.nextafter(np.float32(w), np.float32(2))))
-        self.places = [np.array([p for p, _ in x], np.int64) for x in postings]
-        self.weights = [np.array([w for _, w in x]) for x in postings]
-        self.cuts = [np.searchsorted(p, np.arange(self.n_blocks + 1) * block) for p in self.places]
+        heavy = np.full(n, -1, np.int64)
+        by_weight = np.lexsort((-terms, weights))
+        heavy[owner[by_weight]] = terms[by_weight]
+        self.order = np.lexsort((np.arange(n), heavy))
+        place = np.empty(n, np.int64)
+        place[self.order] = np.arange(n)
+        counts = np.bincount(terms, minlength=n_terms)
+        often = np.argsort(-counts, kind="stable")[:common]
+        often = often[counts[often] > max(block, n // 16)]
+        self.column = np.full(n_terms, -1, np.int32)
+        self.column[often] = np.arange(len(often))
+        dense = self.column[terms] >= 0
+        self.rows = np.zeros((self.n_blocks, block, len(often)))
+        at = place[owner[dense]]
+        self.rows[at // block, at % block, self.column[terms[dense]]] = weights[dense]
+        self.maxima = self.rows.max(axis=1) if self.n_blocks else np.zeros((0, len(often)))
+        t, p, w = terms[~dense], place[owner[~dense]], weights[~dense]
+        by_term = np.lexsort((p, t))
+        self.places, self.weights = p[by_term].astype(np.int32), w[by_term]
+        self.starts = np.searchsorted(t[by_term], np.arange(n_terms + 1))
 
     def top(self, query: dict[int, float], k: int, skip: int = -1) -> list[tuple[float, int]]:
         """Up to k ``(cosine, example)`` with a positive cosine, best first; never example ``skip``."""
-        if not query or not self.n_blocks:
-            return []
-        terms = np.fromiter(query, np.int64, len(query))
-        q = np.fromiter(query.values(), np.float64, len(query))
-        bounds = q @ self.maxima[terms].astype(np.float64)
-        heap: list[tuple[float, int]] = []
-        for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] <= 0 or len(heap) == k and bounds[b] < heap[0][0]:
-                break
-            scores = np.zeros(self.block)
-            for t, w in zip(terms, q, strict=True):
-                lo, hi = self.cuts[t][b], self.cuts[t][b + 1]
-                if lo < hi:
-                    scores[self.places[t][lo:hi] - b * self.block] += w * self.weights[t][lo:hi]
-            for j in np.nonzero(scores > (heap[0][0] if len(heap) == k else 0.0))[0]:
-                i = int(self.order[b * self.block + j])
-                if i == skip:
-                    continue
-                if len(heap) < k:
-                    heapq.heappush(heap, (float(scores[j]), -i))
-                elif scores[j] > heap[0][0]:
-                    heapq.heapreplace(heap, (float(scores[j]), -i))
-        return [(s, -i) for s, i in sorted(heap, reverse=True)]
+        scores, ids = self.best(np.fromiter(query, np.int64, len(query)), np.fromiter(query.values(), np.float64, len(query)), k, skip)
+        return list(zip(scores.tolist(), ids.tolist(), strict=True))
+
+    def best(self, terms: np.ndarray, q: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        if not len(terms) or not self.n:
+            return np.zeros(0), np.zeros(0, np.int64)
+        column = self.column[terms]
+        usual = np.zeros(self.rows.shape[2])
+        usual[column[column >= 0]] = q[column >= 0]
+        rare, weight = terms[column < 0], q[column < 0]
+        length = self.starts[rare + 1] - self.starts[rare]
+        at = np.arange(length.sum()) + np.repeat(self.starts[rare] - (np.cumsum(length) - length), length)
+        sums = np.bincount(self.places[at], np.repeat(weight, length) * self.weights[at], self.n_blocks * self.block).reshape(self.n_blocks, self.block)
+        bounds = (sums.max(axis=1) + self.maxima @ usual) * (1 + 1e-12)
+        first = min(self.n_blocks, 4 + -(-k // 8))
+        opened = np.argpartition(-bounds, first - 1)[:first] if first < self.n_blocks else np.arange(self.n_blocks)
+        scores, ids = self._open(opened, sums, usual, skip)
+        if first < self.n_blocks:
+            least = np.partition(scores, -k)[-k] if len(scores) >= k else 0.0
+            rest = bounds >= max(least - 1e-12, 1e-300)
+            rest[opened] = False
+            rest = np.nonzero(rest)[0]
+            if len(rest):
+                more, more_ids = self._open(rest, sums, usual, skip)
+                scores, ids = np.concatenate([scores, more]), np.concatenate([ids, more_ids])
+        best = np.lexsort((ids, -scores))[:k]
+        return scores[best], ids[best]
+
+    def _open(self, blocks: np.ndarray, sums: np.ndarray, usual: np.ndarray, skip: int) -> tuple[np.ndarray, np.ndarray]:
+        scores = np.round((sums[blocks] + self.rows[blocks] @ usual).ravel(), 12)
+        places = (blocks[:, None] * self.block + np.arange(self.block)).ravel()
+        some = np.nonzero(scores > 0)[0]
+        ids = self.order[places[some]]
+        keep = ids != skip
+        return scores[some][keep], ids[keep]
 
 
 @dataclass
 class ToxicityModel:
-    """Vocabulary, inverse document frequencies, index of examples and calibration."""
+    """Vocabulary, term weights, index of examples and calibration."""
 
-    vocabulary: dict[str, int]
-    idf: np.ndarray
-    ids: list
-    toxic: np.ndarray
-    index: BlockMaxIndex
+    vocabulary: dict[bytes, int]
+    weight: np.ndarray
     k: int
-    weights: np.ndarray
-
-    def vector(self, counts: dict[int, int]) -> dict[int, float]:
-        v = {t: (1.0 + np.log(c)) * self.idf[t] for t, c in counts.items()}
-        norm = np.sqrt(sum(x * x for x in v.values()))
-        return {t: x / norm for t, x in v.items()} if norm > 0 else {}
-
-    def votes(self, vector: dict[int, float], skip: int = -1) -> tuple[np.ndarray, list[int]]:
-        """Features of the vote: toxic share weighted by cosine, the same over the toxic, best toxic and clean cosine."""
-        near = self.index.top(vector, self.k, skip)
-        total = sum(s for s, _ in near)
-        if total <= 0:
-            return np.zeros(3), []
-        share = sum(s for s, i in near if self.toxic[i]) / total
-        best = max((s for s, i in near if self.toxic[i]), default=0.0)
-        return np.array([share, best, share * best]), [i for _, i in near]
+    ids: list = field(default_factory=list)
+    toxic: np.ndarray = field(default_factory=lambda: np.zeros(0, bool))
+    index: BlockMaxIndex | None = None
+    calibration: np.ndarray = field(default_factory=lambda: np.zeros(4))
+
+    def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """The text's terms that are in the vocabulary, ascending, and how often each occurs."""
+        get = self.vocabulary.get
+        found = sorted((i, c) for w, c in Counter(text_terms(text)).items() if (i := get(w)) is not None)
+        both = np.array(found, np.int64).reshape(-1, 2)
+        return both[:, 0], both[:, 1]
+
+    def vector(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        v = (1.0 + np.log(counts)) * self.weight[terms]
+        return v / np.sqrt(v @ v) if len(v) else v
+
+    def votes(self, terms: np.ndarray, vector: np.ndarray, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """Features of the vote: toxic share weighted by cosine, best toxic cosine, their product; and the neighbours."""
+        scores, near = self.index.best(terms, vector, self.k, skip)
+        if not len(near):
+            return np.zeros(3), near
+        bad = self.toxic[near]
+        share = float(scores[bad].sum() / scores.sum())
+        best = float(scores[bad].max()) if bad.any() else 0.0
+        return np.array([share, best, share * best]), near
 
     def score(self, features: np.ndarray) -> float:
-        return float(1.0 / (1.0 + np.exp(-(self.weights[0] + features @ self.weights[1:]))))
+        return float(1.0 / (1.0 + np.exp(-(self.calibration[0] + features @ self.calibration[1:]))))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -141,95 +161,145 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
-def fit_toxicity(docs: DataFrame, labelled: DataFrame, max_examples: int = 20_000, max_terms: int = 4_096, least_g2: float = 16.0, k: int = 15) -> ToxicityModel:
-    """Learn from ``labelled`` (``doc_id, label`` 0/1) over ``docs`` (``doc_id, text``).
-
-    Bounds: at most ``max_examples`` labelled documents (those with the least hash of the id)
-    are examples, and at most ``max_terms`` terms are kept: those whose presence speaks for
-    the label beyond chance (log-likelihood ratio of at least ``least_g2``, at least three
-    times the base rate). Document frequencies are counted over all of ``docs``. Equal texts
-    are one example. Calibration is logistic on leave-one-out votes of the examples.
-    """
+def _examples(docs: DataFrame, labelled: DataFrame, max_examples: int, max_bytes: int) -> DataFrame:
+    """``doc_id, text, label`` of the examples, equal texts once (least id, largest label); written."""
     per_id = labelled.where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
     chosen = per_id.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_examples)
-    texts = docs.select("doc_id", "text").join(chosen, "doc_id")
-    texts = stash(texts.groupBy(F.xxhash64("text").alias("h"), "text").agg(F.min("doc_id").alias("doc_id"), F.max("label").cast("int").alias("label")).drop("h"))
+    texts = docs.select("doc_id", "text").join(chosen, "doc_id").withColumn("size", F.coalesce(F.octet_length("text"), F.lit(0)))
+    texts = stash(texts.where(F.col("size") <= max_bytes // 8))
+    sizes = texts.groupBy("doc_id").agg(F.sum("size").alias("size"))  # at most a row an example
+    fits = sizes.withColumn("sum", F.sum("size").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))).where(F.col("sum") <= max_bytes)
+    texts = texts.join(fits.select("doc_id"), "doc_id", "left_semi")
+    return stash(texts.groupBy(F.xxhash64("text").alias("h"), "text").agg(F.min("doc_id").alias("doc_id"), F.max("label").cast("int").alias("label")).drop("h"))
 
-    @F.pandas_udf("array<string>")
-    def terms(t: pd.Series) -> pd.Series:
-        return pd.Series([sorted(text_terms(x)) for x in t], dtype=object)
 
-    totals = texts.agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("pos")).first()
-    n, pos = totals["n"], totals["pos"]
-    rate = pos / n if n else 0.0
-    seen = texts.select("label", F.explode(terms("text")).alias("term")).groupBy("term").agg(F.count("*").cast("double").alias("c"), F.sum("label").cast("double").alias("p"))
-    part = lambda x, e: F.when(x > 0, x * F.log(x / e)).otherwise(0.0)
-    g2 = 2 * (part(F.col("p"), F.col("c") * rate) + part(F.col("c") - F.col("p"), F.col("c") * (1 - rate)))
-    vocabulary: dict[str, int] = {}
-    if 0 < pos < n:
-        kept = seen.where(F.col("p") / F.col("c") >= min(3 * rate, (1 + rate) / 2)).withColumn("g2", g2).where(F.col("g2") >= least_g2)
-        vocabulary = {r["term"]: i for i, r in enumerate(kept.orderBy(F.desc("g2"), "term").limit(max_terms).collect())}
+def _deviance(c: np.ndarray, p: np.ndarray, rate: float) -> np.ndarray:
+    """Log-likelihood ratio of ``p`` toxic among ``c`` examples against the base rate."""
+    part = lambda x, e: x * np.log(np.where(x > 0, x, 1.0) / np.where(x > 0, e, 1.0))
+    return np.maximum(0.0, 2 * (part(p, c * rate) + part(c - p, c * (1 - rate))))
+
+
+def fit_toxicity(docs: DataFrame, labelled: DataFrame, max_examples: int = 20_000, max_bytes: int = 1 << 26, boost: float = 0.2, k: int = 15) -> ToxicityModel:
+    """Learn from ``labelled`` (``doc_id, label`` 0/1) over ``docs`` (``doc_id, text``).
+
+    Bounds: the ``max_examples`` labelled documents with the least hash of the id, in that
+    order as far as ``max_bytes`` of text in all, none of more than an eighth of these.
+    Equal texts are one example. The vocabulary is every word of the examples that at least
+    two documents have (a word of one document links nothing). A term weighs
+    ``(1 + log tf) * idf * (1 + boost * G2)``: idf from its document frequency over all of
+    ``docs``, G2 the log-likelihood ratio of its examples' labels, so words that tell the
+    labels apart draw neighbours and no word is left out. Calibration is logistic on
+    leave-one-out votes of the examples.
+    """
+    texts = _examples(docs, labelled, max_examples, max_bytes)
     spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(vocabulary)
+    totals = texts.agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("pos")).first()
+    n, rate = totals["n"], (totals["pos"] / totals["n"] if totals["n"] else 0.0)
+
+    def words(batches):
+        for pdf in batches:
+            seen, toxic = Counter(), Counter()
+            for t, y in zip(pdf["text"], pdf["label"], strict=True):
+                own = set(text_terms(t))
+                seen.update(own)
+                if y:
+                    toxic.update(own)
+            yield pd.DataFrame({"term": list(seen), "c": list(seen.values()), "p": [toxic[w] for w in seen]})
+
+    per_term = texts.select("text", "label").mapInPandas(words, "term binary, c long, p long").groupBy("term").agg(F.sum("c").alias("c"), F.sum("p").alias("p"))
+    def listed(batches):  # a batch as one row: words hold no blank
+        for pdf in batches:
+            yield pd.DataFrame({"term": [b" ".join(map(bytes, pdf["term"]))], "c": [pdf["c"].to_numpy("<i8").tobytes()], "p": [pdf["p"].to_numpy("<i8").tobytes()]})
+
+    # as many words as max_bytes of text can hold
+    told = per_term.mapInPandas(listed, "term binary, c binary, p binary").collect()
+    words_of = [w for r in told for w in bytes(r["term"]).split()]
+    by_word = sorted(range(len(words_of)), key=words_of.__getitem__)
+    c, p = (np.frombuffer(b"".join(bytes(r[x]) for r in told), "<i8")[by_word].astype(float) for x in "cp")
+    names = [words_of[i] for i in by_word]
+    del told, words_of, by_word
+    every = {w: i for i, w in enumerate(names)}
+    sent = spark.sparkContext.broadcast(every)
 
     def frequencies(batches):
-        count, rows = np.zeros(len(sent.value), np.int64), 0
+        get, count, rows = sent.value.get, np.zeros(len(sent.value), np.int64), 0
         for pdf in batches:
             rows += len(pdf)
             for t in pdf["text"]:
-                for i in _known(t, sent.value):
-                    count[i] += 1
+                found = [i for w in set(text_terms(t)) if (i := get(w)) is not None]
+                count[found] += 1
         some = np.nonzero(count)[0]
         yield pd.DataFrame({"term": np.append(some, -1), "n": np.append(count[some], rows)})
 
-    df = {r["term"]: r["n"] for r in docs.select("text").mapInPandas(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    all_docs = df.pop(-1, 0)
-    idf = np.array([np.log((1.0 + all_docs) / (1.0 + df.get(i, 0))) + 1.0 for i in range(len(vocabulary))])
-
-    def known(batches):
+    def numbers(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"term": [pdf["term"].to_numpy("<i8").tobytes()], "n": [pdf["n"].to_numpy("<i8").tobytes()]})
+
+    df = docs.select("text").mapInPandas(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    in_docs = np.zeros(len(every) + 1, np.int64)
+    for r in df.mapInPandas(numbers, "term binary, n binary").collect():
+        in_docs[np.frombuffer(bytes(r["term"]), "<i8")] = np.frombuffer(bytes(r["n"]), "<i8")
+    all_docs, in_docs = int(in_docs[-1]), in_docs[:-1]
+    linking = np.nonzero(in_docs >= 2)[0]
+    g2 = _deviance(c, p, rate)
+    weight = (np.log((1.0 + all_docs) / (1.0 + in_docs)) + 1.0) * (1.0 + boost * g2)
+    model = ToxicityModel({names[j]: i for i, j in enumerate(linking.tolist())}, weight[linking], k)
+    sent.unpersist()
+    del every, names
+    known = spark.sparkContext.broadcast(model)
+
+    def vectors(batches):
+        m = known.value
         for pdf in batches:
-            counts = [_known(t, sent.value) for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "label": pdf["label"], "t": [list(c) for c in counts], "c": [list(c.values()) for c in counts]})
+            t, v = [], []
+            for text in pdf["text"]:
+                terms, counts = m.counts(text)
+                t.append(terms.astype("<i4").tobytes())
+                v.append(m.vector(terms, counts).astype("<f8").tobytes())
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "label": pdf["label"], "t": t, "v": v})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = texts.mapInPandas(known, f"doc_id {kind}, label int, t array<int>, c array<int>").orderBy("doc_id").collect()
-    model = ToxicityModel(vocabulary, idf, [], np.zeros(0, bool), None, k, np.zeros(4))
-    vectors, labels, blank = [], [], []
-    for r in rows:
-        v = model.vector(dict(zip(r["t"], r["c"], strict=True)))
-        if v:
-            vectors.append(v)
-            model.ids.append(r["doc_id"])
-            labels.append(bool(r["label"]))
-        else:
-            blank.append(r["label"])
-    model.toxic = np.array(labels, bool)
-    model.index = BlockMaxIndex(vectors, max(1, len(vocabulary)))
-    features = [model.votes(v, i)[0] for i, v in enumerate(vectors)] + [np.zeros(3)] * len(blank)
-    if rows:
-        model.weights = _logistic(np.array(features), np.array([*labels, *blank], float))
-    else:
-        model.weights = np.array([np.log(0.01 / 0.99), 0.0, 0.0, 0.0])
+    coded = stash(texts.mapInPandas(vectors, f"doc_id {kind}, label int, t binary, v binary"))
+    rows = coded.orderBy("doc_id", "t").collect()  # the examples, a few bytes a word
+    some = [r for r in rows if r["t"]]
+    sizes = np.array([len(r["t"]) // 4 for r in some], np.int64)
+    terms = np.frombuffer(b"".join(bytes(r["t"]) for r in some), "<i4").astype(np.int64)
+    values = np.frombuffer(b"".join(bytes(r["v"]) for r in some), "<f8")
+    model.ids, model.toxic = [r["doc_id"] for r in some], np.array([r["label"] for r in some], bool)
+    model.index = BlockMaxIndex.of_arrays(sizes, terms, values, max(1, len(model.vocabulary)))
+    if not len(rows):
+        model.calibration = np.array([np.log(0.01 / 0.99), 0.0, 0.0, 0.0])
+        return model
+    del rows, some, terms, values
+    known = spark.sparkContext.broadcast(model)
+
+    def own_votes(batches):
+        m = known.value
+        place = {x: i for i, x in enumerate(m.ids)}
+        for pdf in batches:
+            f = [m.votes(np.frombuffer(t, "<i4").astype(np.int64), np.frombuffer(v, "<f8"), place.get(i, -1))[0] for i, t, v in zip(pdf["doc_id"], pdf["t"], pdf["v"], strict=True)]
+            yield pd.DataFrame(np.array(f).reshape(-1, 3), columns=["a", "b", "c"]).assign(y=pdf["label"].to_numpy(float))
+
+    votes = coded.mapInPandas(own_votes, "a double, b double, c double, y double").orderBy("a", "b", "c", "y").collect()
+    known.unpersist()
+    votes = np.array(votes, float)
+    model.calibration = _logistic(votes[:, :3], votes[:, 3])
     return model
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, evidence: int = 3) -> Column:
-    """A struct ``score double, evidence array<long>``: the probability, and the ids of the nearest examples."""
+    """A struct ``score double, evidence array<string>``: the probability, and the ids of the nearest examples."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("score double, evidence array<string>")
     def udf(texts: pd.Series) -> pd.DataFrame:
         m = sent.value
-        known: dict[tuple, tuple[float, list]] = {}
         scores, ids = [], []
         for t in texts:
-            counts = _known(t, m.vocabulary)
-            key = tuple(sorted(counts.items()))
-            if key not in known:
-                features, near = m.votes(m.vector(counts))
-                known[key] = m.score(features), [str(m.ids[i]) for i in near[:evidence]]
-            scores.append(known[key][0])
-            ids.append(known[key][1])
+            terms, counts = m.counts(t)
+            features, near = m.votes(terms, m.vector(terms, counts))
+            scores.append(m.score(features))
+            ids.append([str(m.ids[i]) for i in near[:evidence]])
         return pd.DataFrame({"score": scores, "evidence": ids})
 
     return udf(F.col("text"))
@@ -238,8 +308,9 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, evidence: int = 3) ->
 def toxicity_documents(docs: DataFrame, labelled: DataFrame, threshold: float = 0.7, **fit) -> DataFrame:
     """``docs`` with ``score``, ``evidence`` and ``predicted`` added (replacing columns so named).
 
-    A null or empty text has no neighbours and gets the calibrated score of such examples;
-    rows that repeat are scored each; without labels everything scores 0.01.
+    A text that shares no word with an example, a null or empty one too, has no neighbours
+    and gets the calibrated score of such examples; neighbours at the same cosine come by the
+    smaller id; rows that repeat are scored each; without labels everything scores 0.01.
     """
     model = fit_toxicity(docs, labelled, **fit)
     scored = docs.select(F.struct("*").alias("row"), score_toxicity(docs, model).alias("s"))
