@@ -255,3 +255,98 @@ def test_columns_of_any_name_survive(spark):
         assert out.columns[:5] == df.columns
         assert {(r["doc_id"], r["_s"], r["row"]) for r in out.collect()} == {(1, "a", "b"), (2, "d", "e")}
         assert dict(out.dtypes)["score"] == "double"
+
+
+def test_block_max_index_with_rare_and_common_terms():
+    r = random.Random(5)
+    vectors = []
+    for _ in range(900):
+        v = {r.randrange(4): r.random() for _ in range(3)} | {4 + int(r.paretovariate(0.7)) % 3000: r.random() + 0.2 for _ in range(12)}
+        n = math.sqrt(sum(x * x for x in v.values()))
+        vectors.append({t: x / n for t, x in v.items()})
+    vectors += vectors[:30]
+    index = tox.BlockMaxIndex(vectors, 3100, block=8, common=6)
+    assert 0 < index.rows.shape[2] <= 6 < index.n_blocks
+    for i in range(0, len(vectors), 11):
+        got = index.top(vectors[i], 7, skip=i)
+        cosine = [round(sum(w * vectors[j].get(t, 0) for t, w in vectors[i].items()), 9) for j in range(len(vectors))]
+        want = sorted(((-s, j) for j, s in enumerate(cosine) if s > 0 and j != i))[:7]
+        assert [(round(s, 9), j) for s, j in got] == [(-s, j) for s, j in want]
+
+
+def test_toxicity_against_all_examples(make, spark):
+    """The query's scores and evidence from plain dictionaries: weights, every cosine, the vote, the calibration."""
+    import re
+
+    texts, labels = corpus(90, seed=9)
+    texts += ["scumble " * 3 + "ak", "ak. AK, ak!", texts[1], "zz-unknown words", *ODD]
+    df = make(texts)
+    told = spark.createDataFrame([(i, y) for i, y in enumerate(labels) if i % 3], "doc_id long, label int")
+    rows = {r["doc_id"]: r for r in tox.toxicity_documents(df, told).collect()}
+    model = tox.fit_toxicity(df, told)
+    bags = [Counter(re.sub(r"[\x00-\x20!-/:-@\[-`{-~]", " ", (t or "").lower()).split(" ")) for t in texts]
+    for b in bags:
+        del b[""]
+    seen = Counter(w for b in bags for w in b)
+    first = {}
+    for i, y in enumerate(labels):
+        if i % 3:
+            first.setdefault(texts[i], (i, y))
+    examples = sorted(first.values())
+    c, p = Counter(w for i, _ in examples for w in bags[i]), Counter(w for i, y in examples if y for w in bags[i])
+    rate = sum(y for _, y in examples) / len(examples)
+
+    def weight(w):
+        parts = [(p[w], c[w] * rate), (c[w] - p[w], c[w] * (1 - rate))]
+        g2 = max(0.0, 2 * sum(x * math.log(x / e) for x, e in parts if x > 0))
+        return (math.log((1 + len(texts)) / (1 + seen[w])) + 1) * (1 + 0.2 * g2)
+
+    def vector(i):
+        v = {w: (1 + math.log(n)) * weight(w) for w, n in bags[i].items() if c[w] and seen[w] >= 2}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {w: x / norm for w, x in v.items()}
+
+    known = {i: vector(i) for i, _ in examples}
+    toxic = dict(examples)
+    for i in range(len(texts)):
+        v = vector(i)
+        near = sorted((-round(sum(x * known[j].get(w, 0) for w, x in v.items()), 12), j) for j in known)
+        near = [(j, -s) for s, j in near if s < 0][:15]
+        total, bad = sum(s for _, s in near), [s for j, s in near if toxic[j]]
+        share, best = (sum(bad) / total if near else 0.0), max(bad, default=0.0)
+        a = model.calibration
+        want = 1 / (1 + math.exp(-(a[0] + a[1] * share + a[2] * best + a[3] * share * best)))
+        assert rows[i]["score"] == pytest.approx(want, abs=1e-8), i
+        assert rows[i]["evidence"] == [str(j) for j, _ in near[:3]], i
+
+
+def test_language_model_does_not_depend_on_partitions(small_lm, monkeypatch):
+    from pyspark.sql import functions as F
+
+    _, df = small_lm
+    train = F.col("doc_id") % 7 != 2
+    for size, name in ((1 << 12, "BLOCK_BYTES"), (1 << 15, "PART_BYTES"), (2, "FAN_IN")):
+        monkeypatch.setattr(lm, name, size)
+    found = []
+    for parts in (1, 6):
+        rows = lm.score_documents(df.repartition(parts), train, head=12, width=4, shapes=5, hidden=8).collect()
+        found.append(sorted((x["doc_id"], x["n_tokens"], x["n_known"], round(x["base_score"], 9), round(x["score"], 6)) for x in rows))
+    assert found[0] == found[1] and len(found[0]) == df.count()
+
+
+def test_language_model_odd_ids_and_repeated_rows(make):
+    from pyspark.sql import functions as F
+
+    df = make(["alpha beta", "alpha beta", None, "alpha beta gamma"], ids=[None, 4, 4, 5])
+    rows = lm.score_documents(df.union(df), F.col("doc_id") != 5, head=4, width=2, shapes=2, hidden=4).collect()
+    assert len(rows) == 8 and sum(x["doc_id"] is None for x in rows) == 2
+    same = {}
+    for x in rows:
+        same.setdefault((x["doc_id"], x["n_tokens"]), set()).add(round(x["score"], 6))
+    assert all(len(v) == 1 for v in same.values())
+
+
+def test_classes_follow_from_input_ids():
+    lex = lexicon()
+    ids, classes = lex.codes([*lex.head, "xa", "xab", "zz", "Q9"])
+    assert np.array_equal(lex.with_classes(ids.astype("<u2")), np.stack([ids, classes], axis=1))
