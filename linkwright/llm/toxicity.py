@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import zlib
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -11,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkwright.llm.common import with_new
-from linkwright.plans.runtime import stash
+from linkwright.plans.runtime import free, stash
 
 __all__ = ["text_terms", "BlockMaxIndex", "ToxicityModel", "fit_toxicity", "score_toxicity", "toxicity_documents"]
 
@@ -112,16 +114,52 @@ class BlockMaxIndex:
 
 @dataclass
 class ToxicityModel:
-    """Vocabulary, term weights, index of examples and calibration."""
+    """Words with their weights, the examples' terms, and calibration.
 
-    vocabulary: dict[bytes, int]
+    What is sent to executors is compact (a few bytes a term of an example); each Python
+    worker builds the vocabulary and the index from it once, when it first needs them.
+    """
+
+    words: bytes  # in order, a blank between two
     weight: np.ndarray
     k: int
     ids: list = field(default_factory=list)
     toxic: np.ndarray = field(default_factory=lambda: np.zeros(0, bool))
-    index: BlockMaxIndex | None = None
+    sizes: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    packed: bytes = b""  # terms and counts of all examples, one behind the other
     calibration: np.ndarray = field(default_factory=lambda: np.zeros(4))
 
+    @functools.cached_property
+    def vocabulary(self) -> dict[bytes, int]:
+        return {w: i for i, w in enumerate(self.words.split())}
+
+    @functools.cached_property
+    def index(self) -> BlockMaxIndex:
+        terms, counts = self.unpack()
+        v = (1.0 + np.log(counts)) * self.weight[terms]
+        ends = np.cumsum(self.sizes)
+        norms = np.sqrt(np.add.reduceat(v * v, ends - self.sizes)) if len(v) else np.zeros(0)
+        return BlockMaxIndex.of_arrays(self.sizes, terms, v / np.repeat(norms, self.sizes), max(1, len(self.weight)))
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("vocabulary", "index", "sent")}
+
+    def add_examples(self, ids: list, toxic: list, terms: list[np.ndarray], counts: list[np.ndarray]) -> None:
+        """Examples by their ascending terms, none without any; terms are kept as differences, compressed."""
+        self.ids, self.toxic, self.sizes = ids, np.array(toxic, bool), np.array([len(t) for t in terms], np.int64)
+        steps = np.concatenate([np.diff(t, prepend=0) for t in terms] or [np.zeros(0, np.int64)])
+        self.packed = zlib.compress(steps.astype("<u4").tobytes() + np.concatenate([*counts, np.zeros(0, np.int64)]).astype("<u4").tobytes(), 1)
+
+    def unpack(self) -> tuple[np.ndarray, np.ndarray]:
+        if not len(self.sizes):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        both = np.frombuffer(zlib.decompress(self.packed), "<u4").astype(np.int64)
+        steps, counts = np.split(both, 2)
+        sums = np.cumsum(steps)
+        ends = np.cumsum(self.sizes)
+        before = np.concatenate([[0], sums[ends[:-1] - 1]]) if len(ends) else np.zeros(0, np.int64)
+        return sums - np.repeat(before, self.sizes), counts
+
     def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """The text's terms that are in the vocabulary, ascending, and how often each occurs."""
         get = self.vocabulary.get
@@ -165,12 +203,15 @@ def _examples(docs: DataFrame, labelled: DataFrame, max_examples: int, max_bytes
     """``doc_id, text, label`` of the examples, equal texts once (least id, largest label); written."""
     per_id = labelled.where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
     chosen = per_id.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_examples)
-    texts = docs.select("doc_id", "text").join(chosen, "doc_id").withColumn("size", F.coalesce(F.octet_length("text"), F.lit(0)))
+    # at most max_examples ids: bounded, whatever the table
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").withColumn("size", F.coalesce(F.octet_length("text"), F.lit(0)))
     texts = stash(texts.where(F.col("size") <= max_bytes // 8))
     sizes = texts.groupBy("doc_id").agg(F.sum("size").alias("size"))  # at most a row an example
     fits = sizes.withColumn("sum", F.sum("size").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))).where(F.col("sum") <= max_bytes)
-    texts = texts.join(fits.select("doc_id"), "doc_id", "left_semi")
-    return stash(texts.groupBy(F.xxhash64("text").alias("h"), "text").agg(F.min("doc_id").alias("doc_id"), F.max("label").cast("int").alias("label")).drop("h"))
+    fitting = texts.join(fits.select("doc_id"), "doc_id", "left_semi")
+    out = stash(fitting.groupBy(F.xxhash64("text").alias("h"), "text").agg(F.min("doc_id").alias("doc_id"), F.max("label").cast("int").alias("label")).drop("h"))
+    free(texts)
+    return out
 
 
 def _deviance(c: np.ndarray, p: np.ndarray, rate: float) -> np.ndarray:
@@ -218,11 +259,11 @@ def fit_toxicity(docs: DataFrame, labelled: DataFrame, max_examples: int = 20_00
     c, p = (np.frombuffer(b"".join(bytes(r[x]) for r in told), "<i8")[by_word].astype(float) for x in "cp")
     names = [words_of[i] for i in by_word]
     del told, words_of, by_word
-    every = {w: i for i, w in enumerate(names)}
-    sent = spark.sparkContext.broadcast(every)
+    n_names = len(names)
+    sent = spark.sparkContext.broadcast(ToxicityModel(b" ".join(names), np.zeros(0), k))
 
     def frequencies(batches):
-        get, count, rows = sent.value.get, np.zeros(len(sent.value), np.int64), 0
+        get, count, rows = sent.value.vocabulary.get, np.zeros(n_names, np.int64), 0
         for pdf in batches:
             rows += len(pdf)
             for t in pdf["text"]:
@@ -236,64 +277,64 @@ def fit_toxicity(docs: DataFrame, labelled: DataFrame, max_examples: int = 20_00
             yield pd.DataFrame({"term": [pdf["term"].to_numpy("<i8").tobytes()], "n": [pdf["n"].to_numpy("<i8").tobytes()]})
 
     df = docs.select("text").mapInPandas(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    in_docs = np.zeros(len(every) + 1, np.int64)
+    in_docs = np.zeros(n_names + 1, np.int64)
     for r in df.mapInPandas(numbers, "term binary, n binary").collect():
         in_docs[np.frombuffer(bytes(r["term"]), "<i8")] = np.frombuffer(bytes(r["n"]), "<i8")
     all_docs, in_docs = int(in_docs[-1]), in_docs[:-1]
     linking = np.nonzero(in_docs >= 2)[0]
     g2 = _deviance(c, p, rate)
     weight = (np.log((1.0 + all_docs) / (1.0 + in_docs)) + 1.0) * (1.0 + boost * g2)
-    model = ToxicityModel({names[j]: i for i, j in enumerate(linking.tolist())}, weight[linking], k)
-    sent.unpersist()
-    del every, names
+    model = ToxicityModel(b" ".join(names[j] for j in linking.tolist()), weight[linking], k)
+    sent.destroy()
+    del names
     known = spark.sparkContext.broadcast(model)
 
-    def vectors(batches):
+    def coded_rows(batches):
         m = known.value
         for pdf in batches:
-            t, v = [], []
-            for text in pdf["text"]:
-                terms, counts = m.counts(text)
-                t.append(terms.astype("<i4").tobytes())
-                v.append(m.vector(terms, counts).astype("<f8").tobytes())
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "label": pdf["label"], "t": t, "v": v})
+            found = [m.counts(text) for text in pdf["text"]]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "label": pdf["label"], "t": [t.astype("<u4").tobytes() for t, _ in found], "c": [c.astype("<u4").tobytes() for _, c in found]})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    coded = stash(texts.mapInPandas(vectors, f"doc_id {kind}, label int, t binary, v binary"))
-    rows = coded.orderBy("doc_id", "t").collect()  # the examples, a few bytes a word
-    some = [r for r in rows if r["t"]]
-    sizes = np.array([len(r["t"]) // 4 for r in some], np.int64)
-    terms = np.frombuffer(b"".join(bytes(r["t"]) for r in some), "<i4").astype(np.int64)
-    values = np.frombuffer(b"".join(bytes(r["v"]) for r in some), "<f8")
-    model.ids, model.toxic = [r["doc_id"] for r in some], np.array([r["label"] for r in some], bool)
-    model.index = BlockMaxIndex.of_arrays(sizes, terms, values, max(1, len(model.vocabulary)))
-    if not len(rows):
+    coded = stash(texts.mapInPandas(coded_rows, f"doc_id {kind}, label int, t binary, c binary"))
+    known.destroy()
+    rows = coded.orderBy("doc_id", "t").collect()  # the examples, eight bytes a word
+    if not rows:
         model.calibration = np.array([np.log(0.01 / 0.99), 0.0, 0.0, 0.0])
         return model
-    del rows, some, terms, values
-    known = spark.sparkContext.broadcast(model)
+    some = [r for r in rows if r["t"]]
+    numbers = lambda name: [np.frombuffer(bytes(r[name]), "<u4").astype(np.int64) for r in some]
+    model.add_examples([r["doc_id"] for r in some], [r["label"] for r in some], numbers("t"), numbers("c"))
+    del rows, some
+    model.sent = known = spark.sparkContext.broadcast(model)
 
     def own_votes(batches):
         m = known.value
         place = {x: i for i, x in enumerate(m.ids)}
         for pdf in batches:
-            f = [m.votes(np.frombuffer(t, "<i4").astype(np.int64), np.frombuffer(v, "<f8"), place.get(i, -1))[0] for i, t, v in zip(pdf["doc_id"], pdf["t"], pdf["v"], strict=True)]
+            f = []
+            for i, t, c in zip(pdf["doc_id"], pdf["t"], pdf["c"], strict=True):
+                terms = np.frombuffer(t, "<u4").astype(np.int64)
+                f.append(m.votes(terms, m.vector(terms, np.frombuffer(c, "<u4")), place.get(i, -1))[0])
             yield pd.DataFrame(np.array(f).reshape(-1, 3), columns=["a", "b", "c"]).assign(y=pdf["label"].to_numpy(float))
 
     votes = coded.mapInPandas(own_votes, "a double, b double, c double, y double").orderBy("a", "b", "c", "y").collect()
-    known.unpersist()
     votes = np.array(votes, float)
+    for scratch in (texts, coded):
+        free(scratch)
     model.calibration = _logistic(votes[:, :3], votes[:, 3])
     return model
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, evidence: int = 3) -> Column:
     """A struct ``score double, evidence array<string>``: the probability, and the ids of the nearest examples."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    # the examples were sent for the calibration already
+    sent, calibration = getattr(model, "sent", None) or docs.sparkSession.sparkContext.broadcast(model), model.calibration
 
     @F.pandas_udf("score double, evidence array<string>")
     def udf(texts: pd.Series) -> pd.DataFrame:
         m = sent.value
+        m.calibration = calibration
         scores, ids = [], []
         for t in texts:
             terms, counts = m.counts(t)
