@@ -265,7 +265,7 @@ def _gaps(matches: DataFrame, kind: str) -> DataFrame:
         rows, key, order = matches, "duplicate_group", [F.col("rank")]
     r = rows.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_r <= 2")
     two = r.groupBy(F.col(key).alias("key")).agg(F.max(F.when(F.col("_r") == 1, F.col("score"))).alias("a"), F.max(F.when(F.col("_r") == 2, F.col("score"))).alias("b"))
-    return two.where("b is not null").select("key", (F.col("a") - F.col("b")).alias("gap"))
+    return two.where("b is not null").select("key", F.round(F.col("a") - F.col("b"), 9).alias("gap"))
 
 
 def summarise_matches(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkwright.plans.runtime import stash
+from linkwright.plans.runtime import free, stash
 
 __all__ = ["connected_components"]
 
@@ -33,7 +33,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         # small-star: u and its smaller neighbours are tied to the smallest of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", "m"))
-        work = stash(small.where("u <> v").distinct())
+        last, work = work, stash(small.where("u <> v").distinct())
+        free(last)  # written rounds before this one are read no more
         now = work.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if (now["n"], now["h"]) == before:
             break

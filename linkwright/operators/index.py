@@ -261,8 +261,21 @@ def _sets(df: DataFrame, id: str, strategy: SearchStrategy) -> DataFrame:
     return token_sets(_plain(df, id, strategy)).where("block is not null")
 
 
-def build_index(df: DataFrame, id: str, strategy: SearchStrategy) -> Index:
-    """The token pipelines run once: the folded sets are written, everything after reads them."""
+def _given(tokens: DataFrame) -> DataFrame:
+    """The folded sets of tokens that ``prepare_search_data`` made before, token blocks included."""
+    if missing := [c for c in ("id", *KEY) if c not in tokens.columns]:
+        raise ValueError(f"prepared tokens lack the columns {missing}")
+    return token_sets(tokens.select("id", *KEY)).where("block is not null")
+
+
+def build_index(df: DataFrame, id: str, strategy: SearchStrategy, tokens: DataFrame | None = None) -> Index:
+    """The token pipelines run once: the folded sets are written, everything after reads them.
+
+    ``tokens`` are those of ``prepare_search_data`` under the same strategy; the pipelines then do not run at all.
+    """
+    if tokens is not None:
+        sets = stash(_given(tokens))
+        return Index(sets, thin(vocabulary(sets, strategy), strategy))
     sets = stash(_sets(df, id, strategy))
     blocks = _token_blocks(df, id, strategy)
     if blocks is not None:
@@ -274,12 +287,19 @@ def build_index(df: DataFrame, id: str, strategy: SearchStrategy) -> Index:
     return Index(sets, thin(vocabulary(sets, strategy), strategy))
 
 
-def build_cross_index(base: DataFrame, target: DataFrame, base_id: str, target_id: str, strategy: SearchStrategy) -> Index:
-    """Both tables in one index, told apart by ``side``; rarity counts them together."""
+def build_cross_index(
+    base: DataFrame, target: DataFrame, base_id: str, target_id: str, strategy: SearchStrategy, base_tokens: DataFrame | None = None, target_tokens: DataFrame | None = None
+) -> Index:
+    """Both tables in one index, told apart by ``side``; rarity counts them together. Tokens given are not made again."""
     tables = [("base", base, base_id), ("target", target, target_id)]
+    tokens = {"base": base_tokens, "target": target_tokens}
     named = lambda df, side: df.withColumn("side", F.lit(side))
-    sets = stash(reduce(DataFrame.unionByName, [named(_sets(df, i, strategy), side) for side, df, i in tables]))
-    if strategy.token_blocks:
+    ready = any(t is not None for t in tokens.values())
+    if ready and strategy.token_blocks:  # tokens come with their blocks
+        tokens = {side: t if t is not None else prepare_search_data(df, i, strategy) for (side, df, i), t in zip(tables, tokens.values(), strict=True)}
+    sets = [named(_sets(df, i, strategy) if tokens[side] is None else _given(tokens[side]), side) for side, df, i in tables]
+    sets = stash(reduce(DataFrame.unionByName, sets))
+    if strategy.token_blocks and not ready:
         blocks = stash(reduce(DataFrame.unionByName, [named(_token_blocks(df, i, strategy), side) for side, df, i in tables]))
         pairing = stash(_pairing(blocks, strategy))
         parts = [named(_in_blocks(sets.where(F.col("side") == side), pairing.where(F.col("side") == side).drop("side")).drop("btok"), side) for side, *_ in tables]

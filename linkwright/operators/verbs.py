@@ -30,10 +30,16 @@ def _override(strategy, weights, threshold):
     return replace(strategy, **changes)
 
 
-def duplicate_links(df: DataFrame, id: str, strategy) -> DataFrame:
+def _only_search(strategy, *tokens) -> None:
+    if any(t is not None for t in tokens) and not isinstance(strategy, SearchStrategy):
+        raise ValueError("only search strategies take prepared tokens")
+
+
+def duplicate_links(df: DataFrame, id: str, strategy, base_tokens: DataFrame | None = None) -> DataFrame:
     """``lhs_id, rhs_id, score`` of the links a strategy finds inside a table."""
+    _only_search(strategy, base_tokens)
     if isinstance(strategy, SearchStrategy):
-        return best_pairs(score_pairs(build_index(df, id, strategy), strategy, strategy.threshold), strategy)
+        return best_pairs(score_pairs(build_index(df, id, strategy, base_tokens), strategy, strategy.threshold), strategy)
     if isinstance(strategy, ExactStrategy):
         links = equal_links(df, id, strategy)
         if strategy.containment != "off":
@@ -50,19 +56,26 @@ def _rest(df: DataFrame, id: str, taken: tuple[str, ...]) -> DataFrame:
     return df.select(id_text(id).alias("id"), *[F.col(c).alias(n) for c, n in names.items()])
 
 
-def detect_duplicates(df: DataFrame, id: str, strategy, weights: dict | None = None, threshold: float | None = None) -> DataFrame:
-    """``duplicate_group, id, score, rank`` and the other columns, for records in a group of two or more."""
+def detect_duplicates(df: DataFrame, id: str, strategy, weights: dict | None = None, threshold: float | None = None, base_tokens: DataFrame | None = None) -> DataFrame:
+    """``duplicate_group, id, score, rank`` and the other columns, for records in a group of two or more.
+
+    ``base_tokens`` is what ``prepare_search_data`` made of the table before; its pipelines then do not run again.
+    """
     strategy = _override(strategy, weights, threshold)
-    links = duplicate_links(df, id, strategy)
+    links = duplicate_links(df, id, strategy, base_tokens)
     ent = resolve_entities(links, "lhs_id", "rhs_id", "score")
     sized = ent.withColumnRenamed("entity", "duplicate_group").select("duplicate_group", "id", "score", "rank")
     return sized.join(_rest(df, id, ("duplicate_group", "score", "rank")), "id", "left").select("duplicate_group", "id", "score", "rank", *[c for c in _rest(df, id, ("duplicate_group", "score", "rank")).columns if c != "id"])
 
 
-def candidate_pairs(base: DataFrame, target: DataFrame, base_id: str, target_id: str, strategy) -> DataFrame:
+def candidate_pairs(
+    base: DataFrame, target: DataFrame, base_id: str, target_id: str, strategy, base_tokens: DataFrame | None = None, target_tokens: DataFrame | None = None
+) -> DataFrame:
     """``lhs_id, rhs_id, score`` of base records and their candidates."""
+    _only_search(strategy, base_tokens, target_tokens)
     if isinstance(strategy, SearchStrategy):
-        return best_pairs(score_pairs(build_cross_index(base, target, base_id, target_id, strategy), strategy, strategy.threshold), strategy)
+        index = build_cross_index(base, target, base_id, target_id, strategy, base_tokens, target_tokens)
+        return best_pairs(score_pairs(index, strategy, strategy.threshold), strategy)
     if isinstance(strategy, ExactStrategy):
         pairs = equal_pairs(base, base_id, target, target_id, strategy)
         if strategy.containment != "off":
@@ -96,25 +109,34 @@ def _chunked(base, target, base_id, target_id, strategy, control: ExecutionContr
     out = parts[0] if parts else candidate_pairs(base.limit(0), target.limit(0), base_id, target_id, strategy)
     for p in parts[1:]:
         out = out.union(p)
+    out.failed_chunks = failed
     return out
 
 
 def search_candidates(
-    base: DataFrame, target: DataFrame, base_id: str, target_id: str, strategy, weights: dict | None = None, threshold: float | None = None, control: ExecutionControl | None = None
-) -> DataFrame:
+    base: DataFrame, target: DataFrame, base_id: str, target_id: str, strategy, weights: dict | None = None, threshold: float | None = None, control: ExecutionControl | None = None,
+    base_tokens: DataFrame | None = None, target_tokens: DataFrame | None = None,
+) -> DataFrame:
     """Two rows a pair: ``match_id, score, source, id, rank`` and each side's other columns, united by name.
 
     Pairs are numbered by (base id, target id); inside a pair the base row ranks first.
+    ``base_tokens`` and ``target_tokens`` are what ``prepare_search_data`` made of the tables
+    before. The result's attribute ``failed_chunks`` lists the chunks that are missing from it.
     """
     strategy = _override(strategy, weights, threshold)
-    pairs = _chunked(base, target, base_id, target_id, strategy, control) if control and control.chunk_by else candidate_pairs(base, target, base_id, target_id, strategy)
+    if control and control.chunk_by:
+        pairs = _chunked(base, target, base_id, target_id, strategy, control)
+    else:
+        pairs = candidate_pairs(base, target, base_id, target_id, strategy, base_tokens, target_tokens)
     numbered = number_rows(pairs, ["lhs_id", "rhs_id"], "match_id")
     used = ("match_id", "score", "source", "rank")
     sides = []
     for source, key, df, name in (("base", "lhs_id", base, base_id), ("target", "rhs_id", target, target_id)):
         rows = numbered.select("match_id", "score", F.lit(source).alias("source"), F.col(key).alias("id"), F.lit(1 if source == "base" else 2).alias("rank"))
         sides.append(rows.join(_rest(df, name, used), "id", "left").select("match_id", "score", "source", "id", "rank", *[c for c in _rest(df, name, used).columns if c != "id"]))
-    return sides[0].unionByName(sides[1], allowMissingColumns=True)
+    out = sides[0].unionByName(sides[1], allowMissingColumns=True)
+    out.failed_chunks = getattr(pairs, "failed_chunks", [])
+    return out
 
 
 def deduplicate_table(base: DataFrame, duplicates: DataFrame, id: str) -> DataFrame:

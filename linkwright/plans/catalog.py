@@ -61,9 +61,10 @@ def q_strip_vowels(spark, sf_dir):
     return _map(spark, sf_dir, "customer", "c_custkey", "c_name", strip_vowels())
 
 
-@query("SELECT s_suppkey, 'MAIN STREET ' || s_suppkey AS v FROM supplier")
+@query("SELECT s_suppkey, upper(replace(s_name, '#', ' ')) || ' STREET ' || s_nationkey AS v FROM supplier")
 def q_normalize_street(spark, sf_dir):
-    return read(spark, sf_dir, "supplier").select("s_suppkey", normalize_street("en")(F.concat(F.lit("main St. "), F.col("s_suppkey").cast("string"))).alias("v"))
+    address = F.concat(F.col("s_name"), F.lit(" St. "), F.col("s_nationkey").cast("string"))
+    return read(spark, sf_dir, "supplier").select("s_suppkey", normalize_street("en")(address).alias("v"))
 
 
 @query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS v FROM orders")
@@ -136,10 +137,10 @@ def q_initials(spark, sf_dir):
 
 
 @query(r"""
-SELECT t, count(*) AS n FROM (SELECT unnest(list_filter(string_split_regex(text, '\s+'), lambda x: length(x) >= 4 AND upper(x) NOT IN ('THE', 'THAT', 'WITH') AND NOT regexp_matches(x, '^[0-9]+$'))) AS t FROM documents WHERE lang = 'en') GROUP BY t""")
+SELECT t, count(*) AS n FROM (SELECT unnest(list_filter(string_split_regex(text, '\s+'), lambda x: length(x) >= 4 AND upper(x) NOT IN ('THE', 'THAT', 'WITH') AND NOT regexp_matches(x, '^[0-9]+$'))) AS t FROM documents) GROUP BY t""")
 def q_stopword_filter(spark, sf_dir):
     steps = [word_tokens(), filter_stopwords(["the", "that", "with"]), drop_numeric_tokens(), drop_short_tokens(4)]
-    return read(spark, sf_dir, "documents").where("lang = 'en'").select(F.explode(run_steps(F.col("text"), steps)).alias("t")).groupBy("t").agg(F.count("*").alias("n"))
+    return read(spark, sf_dir, "documents").select(F.explode(run_steps(F.col("text"), steps)).alias("t")).groupBy("t").agg(F.count("*").alias("n"))
 
 
 @query(r"""
@@ -236,9 +237,9 @@ def _rounded(pairs):
 
 
 _PAIRS_OUT = "SELECT lhs_id, rhs_id, round(score, 6) AS score FROM pairs"
-_DOCS = SearchStrategy({"text": _STEPS}, block_by="lang", max_token_df=20, threshold=0.5)
+_DOCS = SearchStrategy({"text": _STEPS}, block_by="lang", on_fanout="off", threshold=0.5)
 _DOC_BAG = sql_bag("documents", "doc_id", ["text"], "lang")
-_BENCH = SearchStrategy({"text": _STEPS}, max_token_df=50, threshold=0.2)
+_BENCH = SearchStrategy({"text": _STEPS}, on_fanout="off", threshold=0.2)
 _BENCH_BAG = sql_bag("benchmark", "item_id", ["text"]) + " UNION ALL " + sql_bag("documents", "doc_id", ["text"], side="target")
 
 
@@ -268,7 +269,8 @@ _search_query("q_search_log", _BENCH.with_(smoothing=smooth_rip_log()))
 _search_query("q_search_offset", _BENCH.with_(smoothing=smooth_rip_offset(0.25)))
 _search_query("q_search_softmax", _BENCH.with_(smoothing=smooth_rip_softmax(0.5)))
 _search_query("q_search_bm25", _BENCH.with_(rarity="bm25"))
-_search_query("q_search_min_rarity", _BENCH.with_(min_rarity=0.05, max_token_df=math.inf))
+_search_query("q_search_min_rarity", _BENCH.with_(min_rarity=0.05))
+_search_query("q_search_max_token_df", _BENCH.with_(max_token_df=50))
 
 
 def _self_query(name: str, table: str, key: str, s: SearchStrategy, bag: str):
@@ -278,8 +280,8 @@ def _self_query(name: str, table: str, key: str, s: SearchStrategy, bag: str):
 
 _self_query("q_links_blocked", "documents", "doc_id", _DOCS, _DOC_BAG)
 _self_query("q_links_global_rarity", "documents", "doc_id", _DOCS.with_(rarity_scope="global"), _DOC_BAG)
-_self_query("q_fanout_cap", "documents", "doc_id", _DOCS.with_(max_token_df=math.inf, max_fanout=400_000), _DOC_BAG)
-_TURN = SearchStrategy({"role": _STEPS, "text": _STEPS}, weights={"role": 0.2, "text": 0.8}, max_token_df=30, threshold=0.5, on_missing="renormalise")
+_self_query("q_fanout_cap", "documents", "doc_id", _DOCS.with_(on_fanout="cap", max_fanout=400_000), _DOC_BAG)
+_TURN = SearchStrategy({"role": _STEPS, "text": _STEPS}, weights={"role": 0.2, "text": 0.8}, on_fanout="off", threshold=0.25, on_missing="renormalise")
 _self_query("q_links_renormalise", "conversations", "conv_id", _TURN, sql_bag("conversations", "conv_id", ["role", "text"]))
 
 
@@ -339,9 +341,9 @@ least AS (SELECT lang, fp, min(id) AS rep FROM prints WHERE len(fp) > 0 GROUP BY
 pairs AS (SELECT rep AS lhs_id, id AS rhs_id, 1.0 AS score FROM prints JOIN least USING (lang, fp) WHERE id <> rep)"""
 
 
-@query(f"WITH RECURSIVE {sql_groups(sql_pairs(_DOC_BAG, _DOCS.with_(rarity='inverse_freq'), False))} SELECT duplicate_group, id FROM groups")
+@query(f"WITH RECURSIVE {sql_groups(sql_pairs(_DOC_BAG, _DOCS.with_(rarity='inverse_freq'), False))} SELECT * FROM groups")
 def q_dedup_documents(spark, sf_dir):
-    return detect_duplicates(read(spark, sf_dir, "documents"), "doc_id", _DOCS).select("duplicate_group", "id")
+    return _groups(detect_duplicates(read(spark, sf_dir, "documents"), "doc_id", _DOCS))
 
 
 @query(f"WITH RECURSIVE {sql_groups(_EXACT_PAIRS)} SELECT * FROM groups")
@@ -368,11 +370,17 @@ def q_materialize_records(spark, sf_dir):
 
 
 @query("""
-WITH RECURSIVE e AS (SELECT l_orderkey::VARCHAR AS a, ('p' || l_partkey) AS b FROM lineitem WHERE l_quantity >= 50), und AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+WITH RECURSIVE e AS (SELECT ('o' || o_orderkey) AS a, ('c' || o_custkey) AS b FROM orders), und AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 reach AS (SELECT DISTINCT a AS id, a AS root FROM und UNION SELECT und.b, reach.root FROM reach JOIN und ON und.a = reach.id)
 SELECT id, dense_rank() OVER (ORDER BY root) AS entity, root AS rep FROM (SELECT id, min(root) AS root FROM reach GROUP BY id)""")
 def q_resolve_entities(spark, sf_dir):
-    e = read(spark, sf_dir, "lineitem").where("l_quantity >= 50").select(F.col("l_orderkey").alias("a"), F.concat(F.lit("p"), "l_partkey").alias("b"))
+    e = read(spark, sf_dir, "orders").select(F.concat(F.lit("o"), "o_orderkey").alias("a"), F.concat(F.lit("c"), "o_custkey").alias("b"))
+    return resolve_entities(e, "a", "b").select("id", "entity", "rep")
+
+
+@query()
+def q_resolve_lineitem(spark, sf_dir):
+    e = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("a"), F.concat(F.lit("p"), "l_partkey").alias("b"))
     return resolve_entities(e, "a", "b").select("id", "entity", "rep")
 
 
@@ -405,7 +413,21 @@ def q_containment_bidirectional(spark, sf_dir):
     return candidate_pairs(read(spark, sf_dir, "benchmark"), read(spark, sf_dir, "documents"), "item_id", "doc_id", s).select("lhs_id", "rhs_id")
 
 
-@query()
+def sql_staged_dedup() -> str:
+    """Stage one on the whole table, stage two on its representatives and the rest, then one resolution over both ledgers."""
+    ledger = "SELECT r.id AS lhs_id, g.id AS rhs_id, g.score, '{s}' AS stage FROM {g} g JOIN {g} r USING (duplicate_group) WHERE r.rank = 1 AND g.rank > 1"
+    near = sql_pairs(sql_bag("left_over", "doc_id", ["text"], "lang"), _DOCS, False)
+    return f"""
+WITH RECURSIVE one AS (WITH RECURSIVE {sql_groups(_EXACT_PAIRS)} SELECT * FROM groups),
+left_over AS (SELECT * FROM documents WHERE doc_id::VARCHAR NOT IN (SELECT id FROM one WHERE rank > 1)),
+two AS (WITH RECURSIVE {sql_groups(near)} SELECT * FROM groups),
+ledger AS ({ledger.format(s="exact", g="one")} UNION ALL {ledger.format(s="near", g="two")}),
+{sql_groups("pairs AS (SELECT lhs_id, rhs_id, score FROM ledger)")},
+touched AS (SELECT id, min(stage) AS stage FROM (SELECT lhs_id AS id, stage FROM ledger UNION ALL SELECT rhs_id, stage FROM ledger) GROUP BY id)
+SELECT g.duplicate_group, g.id, g.score::DOUBLE AS score, g.rank, stage FROM groups g JOIN touched USING (id)"""
+
+
+@query(sql_staged_dedup())
 def q_staged_dedup(spark, sf_dir):
     out = multi_stage_dedup(read(spark, sf_dir, "documents"), "doc_id", {"exact": _EQUAL, "near": _DOCS}).entities
     return _groups(out).join(out.select("id", "stage"), "id")
@@ -433,12 +455,11 @@ def q_embedding_links(spark, sf_dir):
 
 @query("""
 SELECT a.vec_id::VARCHAR AS lhs_id, b.vec_id::VARCHAR AS rhs_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 4) + 0.0 AS score
-FROM embeddings a, embeddings b WHERE a.label = 0 AND b.label = 1""")
+FROM embeddings a, embeddings b""")
 def q_score_embeddings(spark, sf_dir):
     e = read(spark, sf_dir, "embeddings")
     s = EmbeddingStrategy("embedding")
-    a, b = compute_embeddings(e.where("label = 0"), "vec_id", s), compute_embeddings(e.where("label = 1"), "vec_id", s)
-    return score_embeddings(a, b, s).withColumn("score", F.round("score", 4) + F.lit(0.0))
+    return score_embeddings(compute_embeddings(e, "vec_id", s), compute_embeddings(e, "vec_id", s), s).withColumn("score", F.round("score", 4) + F.lit(0.0))
 
 
 # --- diagnostics -------------------------------------------------------------------------------------
@@ -481,21 +502,43 @@ def q_summarise_ambiguity(spark, sf_dir):
     return summarise_matches(_matches(spark, sf_dir)).tables["ambiguity_dist"]
 
 
-@query()
+@query(f"""
+WITH {sql_pairs(_BENCH_BAG, _BENCH, True)}, x AS (SELECT score FROM pairs UNION ALL SELECT score FROM pairs), r AS (SELECT min(score) AS lo, max(score) AS hi FROM x),
+b AS (SELECT least(floor((score - lo) / (hi - lo) * 50), 49)::INT AS bin, lo, hi FROM x, r)
+SELECT round(lo + bin * ((hi - lo) / 50), 6) AS bin_lower, round(lo + (bin + 1) * ((hi - lo) / 50), 6) AS bin_upper, count(*) AS count FROM b GROUP BY bin, lo, hi""")
 def q_summarise_scores(spark, sf_dir):
-    return summarise_matches(_matches(spark, sf_dir)).tables["score_dist"]
+    out = summarise_matches(_matches(spark, sf_dir)).tables["score_dist"]
+    return out.withColumn("bin_lower", F.round("bin_lower", 6)).withColumn("bin_upper", F.round("bin_upper", 6))
 
 
-@query()
+@query(f"""
+WITH {sql_pairs(_BENCH_BAG, _BENCH, True)}, m AS (SELECT row_number() OVER (ORDER BY lhs_id, rhs_id) AS match_id, * FROM pairs),
+o AS (SELECT lhs_id, score, row_number() OVER (PARTITION BY lhs_id ORDER BY score DESC) AS r FROM pairs),
+g AS (SELECT lhs_id, round(max(score) FILTER (r = 1) - max(score) FILTER (r = 2), 9) AS gap FROM o GROUP BY lhs_id HAVING count(*) > 1 ORDER BY gap, lhs_id LIMIT 5)
+SELECT match_id, 'base' AS source, lhs_id AS id, round(score, 6) AS score FROM m SEMI JOIN g USING (lhs_id) UNION ALL SELECT match_id, 'target', rhs_id, round(score, 6) FROM m SEMI JOIN g USING (lhs_id)""")
 def q_sample_matches(spark, sf_dir):
-    return sample_matches(_matches(spark, sf_dir), "top_gap", 5).select("match_id", "source", "id", "score")
+    return sample_matches(_matches(spark, sf_dir), "top_gap", 5).select("match_id", "source", "id", F.round("score", 6).alias("score"))
 
 
-@query()
+def sql_stage_coverage() -> str:
+    """An exact stage, then the token search of what it left on either side."""
+    one = f"SELECT {{key}}::VARCHAR AS id, list_sort(list_distinct({_WORDS.format(c='text')})) AS fp FROM {{table}}"
+    bag = sql_bag("base_left", "item_id", ["text"]) + " UNION ALL " + sql_bag("target_left", "doc_id", ["text"], side="target")
+    return f"""
+WITH exact AS (SELECT a.id AS lhs_id, b.id AS rhs_id FROM ({one.format(key="item_id", table="benchmark")}) a JOIN ({one.format(key="doc_id", table="documents")}) b USING (fp) WHERE len(fp) > 0 AND a.id <> b.id),
+base_left AS (SELECT * FROM benchmark WHERE item_id::VARCHAR NOT IN (SELECT lhs_id FROM exact)), target_left AS (SELECT * FROM documents WHERE doc_id::VARCHAR NOT IN (SELECT rhs_id FROM exact)),
+near AS (WITH {sql_pairs(bag, _BENCH.with_(threshold=0.3), True)} SELECT lhs_id, rhs_id FROM pairs WHERE lhs_id <> rhs_id),
+seen AS (SELECT 0 AS stage_index, * FROM exact UNION ALL SELECT 1, * FROM near), names AS (SELECT * FROM (VALUES (0, 'exact'), (1, 'near')) t(stage_index, stage)),
+b AS (SELECT k AS stage_index, count(*) AS n FROM (SELECT min(stage_index) AS k FROM seen GROUP BY lhs_id) GROUP BY k), t AS (SELECT k AS stage_index, count(*) AS n FROM (SELECT min(stage_index) AS k FROM seen GROUP BY rhs_id) GROUP BY k),
+a AS (SELECT stage_index, stage, coalesce(b.n, 0) AS base_added, coalesce(t.n, 0) AS target_added FROM names LEFT JOIN b USING (stage_index) LEFT JOIN t USING (stage_index))
+SELECT stage, base_added, target_added, sum(base_added) OVER w::BIGINT AS base_cumulative, sum(target_added) OVER w::BIGINT AS target_cumulative FROM a WINDOW w AS (ORDER BY stage_index)"""
+
+
+@query(sql_stage_coverage())
 def q_compare_stages(spark, sf_dir):
     stages = {"exact": ExactStrategy({"text": _STEPS}), "near": _BENCH.with_(threshold=0.3)}
     ledger = multi_stage_search(read(spark, sf_dir, "benchmark"), read(spark, sf_dir, "documents"), "item_id", "doc_id", stages).ledger
-    return compare_stages(ledger, list(stages)).tables["coverage"]
+    return compare_stages(ledger, list(stages)).tables["coverage"].select("stage", "base_added", "target_added", "base_cumulative", "target_cumulative")
 
 
 @query(f"""
@@ -536,14 +579,14 @@ def q_feature_counts(spark, sf_dir):
 
 @query()
 def q_match_features(spark, sf_dir):
-    return match_features(_matches(spark, sf_dir), _BENCH, read(spark, sf_dir, "benchmark"), "item_id", read(spark, sf_dir, "documents"), "doc_id", top_n=3, string_sim=False)
+    return match_features(_matches(spark, sf_dir), _BENCH, read(spark, sf_dir, "benchmark"), "item_id", read(spark, sf_dir, "documents"), "doc_id")
 
 
 @query()
 def q_calibrated_matches(spark, sf_dir):
     m = _matches(spark, sf_dir)
     labels = m.withColumn("equal", (F.pmod(F.col("match_id"), F.lit(3)) > 0).cast("int"))
-    return calibrate_matches(m, labels, _BENCH, read(spark, sf_dir, "benchmark"), "item_id", read(spark, sf_dir, "documents"), "doc_id", top_n=2, string_sim=False).matches.select("match_id", "id", "predicted_tp")
+    return calibrate_matches(m, labels, _BENCH, read(spark, sf_dir, "benchmark"), "item_id", read(spark, sf_dir, "documents"), "doc_id").matches.select("match_id", "id", "predicted_tp")
 
 
 @query("""

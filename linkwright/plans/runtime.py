@@ -8,7 +8,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-__all__ = ["build_session", "shared_dir", "stash", "cut"]
+__all__ = ["build_session", "shared_dir", "stash", "free", "cut"]
 
 
 def build_session(app: str = "linkwright", master: str | None = None, **conf: str) -> SparkSession:
@@ -28,11 +28,13 @@ def build_session(app: str = "linkwright", master: str | None = None, **conf: st
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor sees: ``spark.checkpoint.dir``; a local one only if that is unset."""
+    """The folder that every executor sees: ``spark.checkpoint.dir``; a local one only if that is unset and everything is local."""
     sc = spark.sparkContext
     where = sc.getConf().get("spark.checkpoint.dir", None)
     if not where:
         where = sc.getCheckpointDir()
+    if not where and not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not where:
         where = "file://" + tempfile.mkdtemp(prefix="linkwright-")
     if sc.getCheckpointDir() is None:
@@ -70,7 +72,17 @@ def stash(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._linkwright_path = path
+    return out
+
+
+def free(df: DataFrame) -> None:
+    """Delete the scratch table behind a result of ``stash`` that nothing will read again."""
+    path = getattr(df, "_linkwright_path", None)
+    if path is not None:
+        _written[:] = [x for x in _written if x[1] != path]
+        _drop(df.sparkSession, path)
 
 
 def cut(df: DataFrame) -> DataFrame:
