@@ -26,22 +26,26 @@ def text_terms(text: str | None) -> list[bytes]:
 
 
 class BlockMaxIndex:
-    """Examples in blocks; postings of most terms, and of the commonest the largest weight in each block.
+    """Examples in blocks; postings of most terms, the commonest terms as columns.
 
-    ``top`` adds up the postings of a query's rarer terms. A block's bound is the best of these
-    sums in it and the query's product with the block's largest weights of common terms; the
-    blocks of the highest bounds are scored in full, then all whose bound reaches the k-th
-    score found, so the k scores are exact. Ties (to 12 digits) go to the smaller example.
+    A query's postings and its product with the columns are first summed in short floats,
+    whose error is bounded. The best sum in each block then tells which blocks can hold one of
+    the k best at all; only these are looked into, and what is left within the error of the
+    k-th is summed again in full, so the k scores are exact. Ties (to 12 digits) go to the
+    smaller example.
     """
 
-    def __init__(self, vectors: list[dict[int, float]], n_terms: int, block: int = 64, common: int = 128):
+    #: A column's product has at most ``COMMON`` terms of unit vectors: the error of short floats stays below this.
+    COMMON, ERROR, BATCH = 512, 1e-4, 64
+
+    def __init__(self, vectors: list[dict[int, float]], n_terms: int, block: int = 64, common: int = COMMON):
         sizes = np.array([len(v) for v in vectors], np.int64)
         terms = np.fromiter((t for v in vectors for t in v), np.int64, int(sizes.sum()))
         weights = np.fromiter((w for v in vectors for w in v.values()), np.float64, len(terms))
         self._build(sizes, terms, weights, n_terms, block, common)
 
     @classmethod
-    def of_arrays(cls, sizes: np.ndarray, terms: np.ndarray, weights: np.ndarray, n_terms: int, block: int = 64, common: int = 128) -> BlockMaxIndex:
+    def of_arrays(cls, sizes: np.ndarray, terms: np.ndarray, weights: np.ndarray, n_terms: int, block: int = 64, common: int = COMMON) -> BlockMaxIndex:
         """From the vectors' lengths and their terms and weights, one vector behind the other."""
         index = cls.__new__(cls)
         index._build(sizes, terms, weights, n_terms, block, common)
@@ -49,67 +53,89 @@ class BlockMaxIndex:
 
     def _build(self, sizes, terms, weights, n_terms, block, common) -> None:
         n = len(sizes)
-        self.n, self.block, self.n_blocks = n, block, -(-n // block)
-        owner = np.repeat(np.arange(n), sizes)
-        # Examples whose heaviest term is the same share blocks, which makes the bounds tight.
+        self.n, self.block, self.n_blocks, self.n_terms = n, block, -(-n // block), n_terms
+        self.ends = np.concatenate([[0], np.cumsum(sizes)])
+        self.terms, self.weights = terms.astype(np.int32), weights
+        owner = np.repeat(np.arange(n, dtype=np.int32), sizes)
+        # Examples whose heaviest term is the same share blocks, so that few blocks hold a query's best.
         heavy = np.full(n, -1, np.int64)
         by_weight = np.lexsort((-terms, weights))
         heavy[owner[by_weight]] = terms[by_weight]
         self.order = np.lexsort((np.arange(n), heavy))
-        place = np.empty(n, np.int64)
-        place[self.order] = np.arange(n)
+        place = np.empty(n, np.int32)
+        place[self.order] = np.arange(n, dtype=np.int32)
         counts = np.bincount(terms, minlength=n_terms)
         often = np.argsort(-counts, kind="stable")[:common]
-        often = often[counts[often] > max(block, n // 16)]
+        often = often[counts[often] > max(block, n // 64)]
         self.column = np.full(n_terms, -1, np.int32)
         self.column[often] = np.arange(len(often))
         dense = self.column[terms] >= 0
-        self.rows = np.zeros((self.n_blocks, block, len(often)))
-        at = place[owner[dense]]
-        self.rows[at // block, at % block, self.column[terms[dense]]] = weights[dense]
-        self.maxima = self.rows.max(axis=1) if self.n_blocks else np.zeros((0, len(often)))
-        t, p, w = terms[~dense], place[owner[~dense]], weights[~dense]
+        self.columns = np.zeros((len(often), self.n_blocks * block), np.float32)
+        self.columns[self.column[terms[dense]], place[owner[dense]]] = weights[dense]
+        t, p, w = terms[~dense], place[owner[~dense]], weights[~dense].astype(np.float32)
         by_term = np.lexsort((p, t))
-        self.places, self.weights = p[by_term].astype(np.int32), w[by_term]
+        self.places, self.short = p[by_term], w[by_term]
         self.starts = np.searchsorted(t[by_term], np.arange(n_terms + 1))
 
     def top(self, query: dict[int, float], k: int, skip: int = -1) -> list[tuple[float, int]]:
         """Up to k ``(cosine, example)`` with a positive cosine, best first; never example ``skip``."""
-        scores, ids = self.best(np.fromiter(query, np.int64, len(query)), np.fromiter(query.values(), np.float64, len(query)), k, skip)
+        one = np.fromiter(query, np.int64, len(query)), np.fromiter(query.values(), np.float64, len(query))
+        ((scores, ids),) = self.best([one], k, [skip])
         return list(zip(scores.tolist(), ids.tolist(), strict=True))
 
-    def best(self, terms: np.ndarray, q: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
+    def best(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, skip: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query (terms and weights) the cosines and examples of its k best."""
+        out = []
+        for a in range(0, len(queries), self.BATCH):
+            some = queries[a : a + self.BATCH]
+            usual = np.zeros((len(some), len(self.columns)), np.float32)
+            for row, (terms, q) in zip(usual, some, strict=True):
+                column = self.column[terms]
+                row[column[column >= 0]] = q[column >= 0]
+            sums = usual @ self.columns
+            for i, (terms, q) in enumerate(some):
+                out.append(self._one(terms, q, sums[i], k, -1 if skip is None else skip[a + i]))
+        return out
+
+    def _one(self, terms: np.ndarray, q: np.ndarray, sums: np.ndarray, k: int, skip: int) -> tuple[np.ndarray, np.ndarray]:
         if not len(terms) or not self.n:
             return np.zeros(0), np.zeros(0, np.int64)
-        column = self.column[terms]
-        usual = np.zeros(self.rows.shape[2])
-        usual[column[column >= 0]] = q[column >= 0]
-        rare, weight = terms[column < 0], q[column < 0]
-        length = self.starts[rare + 1] - self.starts[rare]
-        at = np.arange(length.sum()) + np.repeat(self.starts[rare] - (np.cumsum(length) - length), length)
-        sums = np.bincount(self.places[at], np.repeat(weight, length) * self.weights[at], self.n_blocks * self.block).reshape(self.n_blocks, self.block)
-        bounds = (sums.max(axis=1) + self.maxima @ usual) * (1 + 1e-12)
-        first = min(self.n_blocks, 4 + -(-k // 8))
-        opened = np.argpartition(-bounds, first - 1)[:first] if first < self.n_blocks else np.arange(self.n_blocks)
-        scores, ids = self._open(opened, sums, usual, skip)
-        if first < self.n_blocks:
-            least = np.partition(scores, -k)[-k] if len(scores) >= k else 0.0
-            rest = bounds >= max(least - 1e-12, 1e-300)
-            rest[opened] = False
-            rest = np.nonzero(rest)[0]
-            if len(rest):
-                more, more_ids = self._open(rest, sums, usual, skip)
-                scores, ids = np.concatenate([scores, more]), np.concatenate([ids, more_ids])
+        rare = self.column[terms] < 0
+        first, last = self.starts[terms[rare]], self.starts[terms[rare] + 1]
+        some = last > first
+        first, last, weight = first[some], last[some], q[rare][some]
+        if len(first):
+            at = [slice(x, y) for x, y in zip(first.tolist(), last.tolist(), strict=True)]
+            places, short = np.concatenate([self.places[x] for x in at]), np.concatenate([self.short[x] for x in at])
+            short *= np.repeat(weight.astype(np.float32), last - first)
+            sums = sums + np.bincount(places, short, len(sums)).astype(np.float32)
+        blocks = sums.reshape(self.n_blocks, self.block)
+        most = blocks.max(axis=1)
+        # one more than k, as one may be skipped
+        least = np.partition(most, -k - 1)[-k - 1] if self.n_blocks > k else 0.0
+        opened = np.nonzero((most >= least - self.ERROR) & (most > 0))[0]
+        inside = blocks[opened].ravel()
+        near = np.partition(inside, -k - 1)[-k - 1] if len(inside) > k else 0.0
+        found = np.nonzero((inside >= near - self.ERROR) & (inside > 0))[0]
+        ids = self.order[opened[found // self.block] * self.block + found % self.block]
+        ids = ids[ids != skip]
+        scores = self._exact(terms, q, ids)
         best = np.lexsort((ids, -scores))[:k]
+        best = best[scores[best] > 0]
         return scores[best], ids[best]
 
-    def _open(self, blocks: np.ndarray, sums: np.ndarray, usual: np.ndarray, skip: int) -> tuple[np.ndarray, np.ndarray]:
-        scores = np.round((sums[blocks] + self.rows[blocks] @ usual).ravel(), 12)
-        places = (blocks[:, None] * self.block + np.arange(self.block)).ravel()
-        some = np.nonzero(scores > 0)[0]
-        ids = self.order[places[some]]
-        keep = ids != skip
-        return scores[some][keep], ids[keep]
+    def _exact(self, terms: np.ndarray, q: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """The examples' whole cosines, to 12 digits."""
+        if not len(ids):
+            return np.zeros(0)
+        if not hasattr(self, "query"):
+            self.query = np.zeros(self.n_terms)
+        self.query[terms] = q
+        parts = [slice(self.ends[i], self.ends[i + 1]) for i in ids.tolist()]
+        products = self.query[np.concatenate([self.terms[x] for x in parts])] * np.concatenate([self.weights[x] for x in parts])
+        self.query[terms] = 0.0
+        sizes = self.ends[ids + 1] - self.ends[ids]
+        return np.round(np.add.reduceat(products, np.cumsum(sizes) - sizes), 12)
 
 
 @dataclass
@@ -163,23 +189,22 @@ class ToxicityModel:
     def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """The text's terms that are in the vocabulary, ascending, and how often each occurs."""
         get = self.vocabulary.get
-        found = sorted((i, c) for w, c in Counter(text_terms(text)).items() if (i := get(w)) is not None)
-        both = np.array(found, np.int64).reshape(-1, 2)
-        return both[:, 0], both[:, 1]
+        found = np.array([get(w, -1) for w in text_terms(text)], np.int64)
+        return np.unique(found[found >= 0], return_counts=True)
 
     def vector(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
         v = (1.0 + np.log(counts)) * self.weight[terms]
         return v / np.sqrt(v @ v) if len(v) else v
 
-    def votes(self, terms: np.ndarray, vector: np.ndarray, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Features of the vote: toxic share weighted by cosine, best toxic cosine, their product; and the neighbours."""
-        scores, near = self.index.best(terms, vector, self.k, skip)
-        if not len(near):
-            return np.zeros(3), near
-        bad = self.toxic[near]
-        share = float(scores[bad].sum() / scores.sum())
-        best = float(scores[bad].max()) if bad.any() else 0.0
-        return np.array([share, best, share * best]), near
+    def votes(self, queries: list[tuple[np.ndarray, np.ndarray]], skip: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Features of each vote: toxic share weighted by cosine, best toxic cosine, their product; and the neighbours."""
+        out = []
+        for scores, near in self.index.best(queries, self.k, skip):
+            bad = self.toxic[near]
+            share = float(scores[bad].sum() / scores.sum()) if len(near) else 0.0
+            best = float(scores[bad].max()) if bad.any() else 0.0
+            out.append((np.array([share, best, share * best]), near))
+        return out
 
     def score(self, features: np.ndarray) -> float:
         return float(1.0 / (1.0 + np.exp(-(self.calibration[0] + features @ self.calibration[1:]))))
@@ -312,10 +337,9 @@ def fit_toxicity(docs: DataFrame, labelled: DataFrame, max_examples: int = 20_00
         m = known.value
         place = {x: i for i, x in enumerate(m.ids)}
         for pdf in batches:
-            f = []
-            for i, t, c in zip(pdf["doc_id"], pdf["t"], pdf["c"], strict=True):
-                terms = np.frombuffer(t, "<u4").astype(np.int64)
-                f.append(m.votes(terms, m.vector(terms, np.frombuffer(c, "<u4")), place.get(i, -1))[0])
+            terms = [np.frombuffer(t, "<u4").astype(np.int64) for t in pdf["t"]]
+            queries = [(t, m.vector(t, np.frombuffer(c, "<u4"))) for t, c in zip(terms, pdf["c"], strict=True)]
+            f = [v for v, _ in m.votes(queries, [place.get(i, -1) for i in pdf["doc_id"]])]
             yield pd.DataFrame(np.array(f).reshape(-1, 3), columns=["a", "b", "c"]).assign(y=pdf["label"].to_numpy(float))
 
     votes = coded.mapInPandas(own_votes, "a double, b double, c double, y double").orderBy("a", "b", "c", "y").collect()
@@ -336,11 +360,11 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, evidence: int = 3) ->
         m = sent.value
         m.calibration = calibration
         scores, ids = [], []
-        for t in texts:
-            terms, counts = m.counts(t)
-            features, near = m.votes(terms, m.vector(terms, counts))
-            scores.append(m.score(features))
-            ids.append([str(m.ids[i]) for i in near[:evidence]])
+        for a in range(0, len(texts), 256):
+            known = [m.counts(t) for t in texts.iloc[a : a + 256]]
+            for features, near in m.votes([(t, m.vector(t, c)) for t, c in known]):
+                scores.append(m.score(features))
+                ids.append([str(m.ids[i]) for i in near[:evidence]])
         return pd.DataFrame({"score": scores, "evidence": ids})
 
     return udf(F.col("text"))

@@ -266,7 +266,7 @@ def test_block_max_index_with_rare_and_common_terms():
         vectors.append({t: x / n for t, x in v.items()})
     vectors += vectors[:30]
     index = tox.BlockMaxIndex(vectors, 3100, block=8, common=6)
-    assert 0 < index.rows.shape[2] <= 6 < index.n_blocks
+    assert 0 < len(index.columns) <= 6 < index.n_blocks
     for i in range(0, len(vectors), 11):
         got = index.top(vectors[i], 7, skip=i)
         cosine = [round(sum(w * vectors[j].get(t, 0) for t, w in vectors[i].items()), 9) for j in range(len(vectors))]
