@@ -121,8 +121,9 @@ def mix_sources(
     ``max_repeats`` times; a copy's virtual finish time is the stream's tokens so far over
     the source's target; the mix is the prefix of all copies in finish order that stays
     within the total budget. Returns one row per input row:
-    ``doc_id, source, size, source_size, target, taken, repeats`` and the columns in
-    ``carry`` (under a struct ``row``). The shuffle key hashes the id and ``seed``, so reruns agree.
+    ``doc_id, source, size, source_size, target, taken, repeats, finish`` and the columns in
+    ``carry`` (under a struct ``row``). ``finish`` is the first copy's virtual finish time, by
+    which the mix interleaves; each further copy's is later by the source's size over its target. The shuffle key hashes the id and ``seed``, so reruns agree.
 
     Nulls: a null text has size 0, null sources are one source and sort last, a null id is
     a value like any other. Equal rows are queued one behind the other. Size-0 rows take no
@@ -159,5 +160,5 @@ def mix_sources(
         taken = taken + kept.cast("int")
     repeats = F.when(F.col("size") == 0, F.lit(1)).otherwise(taken)
     return queued.select(
-        "doc_id", "source", "size", "source_size", "target", (F.col("size") * repeats).alias("taken"), repeats.alias("repeats"), *(["row"] if carry else [])
+        "doc_id", "source", "size", "source_size", "target", (F.col("size") * repeats).alias("taken"), repeats.alias("repeats"), _finish(0).alias("finish"), *(["row"] if carry else [])
     )

@@ -46,7 +46,8 @@ queue AS (SELECT rid, doc_id, d.source, size, h, source_size, rank, target, sum(
 copies AS (SELECT rid, size, (e * source_size + cum)::DOUBLE / target AS v, rank, h, doc_id FROM queue, range(3) t(e) WHERE size > 0),
 taken AS (SELECT rid, size, sum(size) OVER (ORDER BY v, rank, h, doc_id ROWS UNBOUNDED PRECEDING) AS run FROM copies),
 kept AS (SELECT rid, count(*) AS n FROM taken WHERE run <= (SELECT sum(size) FROM d) GROUP BY rid)
-SELECT doc_id, source, size, source_size, target, (size * coalesce(n, 0))::BIGINT AS taken, CASE WHEN size = 0 THEN 1 ELSE coalesce(n, 0) END::INT AS repeats FROM queue LEFT JOIN kept USING (rid)"""
+SELECT doc_id, source, size, source_size, target, (size * coalesce(n, 0))::BIGINT AS taken, CASE WHEN size = 0 THEN 1 ELSE coalesce(n, 0) END::INT AS repeats,
+  CASE WHEN target > 0 THEN cum::DOUBLE / target ELSE 1.0::DOUBLE END AS finish FROM queue LEFT JOIN kept USING (rid)"""
 
 _TOPK = """
 WITH v AS MATERIALIZED (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: floor(1024 * x)) AS v FROM embeddings

@@ -49,3 +49,25 @@ def test_stages(spark, tmp_path):
         if name == "packing":
             assert ids == had
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == now.count()
+
+
+def test_empty_and_odd_tables(spark, tmp_path):
+    """No rows; no labels; nulls in every column, repeated rows, very long and empty texts, columns named like the stages' own."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row string, _h string, score double, size int, repeats int, pii string"
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    for name, rows in (
+        ("empty", []),
+        ("odd", [(None,) * 11, (1, None, None, None, None, "r", "h", 0.5, 3, 4, "p"), (2, "", "en", "a", 0, *(None,) * 6), (3, "long words " * 40000, "en", None, 9, *(None,) * 6)] + [(4, "mail to a@b.example.org now", "en", "a", 28, "r", "h", 0.1, 1, 1, "p")] * 3),
+    ):
+        sf = f"{tmp_path}/{name}"
+        docs = spark.createDataFrame(rows, schema)
+        docs.write.parquet(f"{sf}/documents.parquet")
+        labels.write.parquet(f"{sf}/labels.parquet")
+        now = docs
+        for stage, run in corpus_pipeline.STAGES[:-1]:
+            now = run(spark, now, sf)
+            assert now.columns == docs.columns, stage
+        packed = corpus_pipeline.run(spark, sf).collect()
+        # the rows without words are one near-duplicate group, whose least id is 1; the three equal rows are one
+        assert {r["doc_id"] for r in packed} == (set() if not rows else {1, 3, 4})
+        assert sum(r["bin_id"] is None for r in packed) == (1 if rows else 0)
