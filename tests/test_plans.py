@@ -39,22 +39,22 @@ def records(spark, n, seed, prefix=""):
 
 
 STRATEGIES = [
-    {}, {"block_by": "k"}, {"rarity": "tfidf"}, {"rarity": "bm25"}, {"smoothing": smooth_rip_log()}, {"smoothing": smooth_rip_offset(0.2)}, {"smoothing": smooth_rip_softmax(0.3)},
-    {"feedback_strength": 0.6}, {"on_missing": "renormalise"}, {"on_missing": "renormalise", "block_by": "k"}, {"weights": {"a": 1.0, "b": 0.0}}, {"rarity_scope": "global", "block_by": "k"},
+    {"block_by": "k"}, {"rarity": "tfidf", "smoothing": smooth_rip_log()}, {"rarity": "bm25"}, {"smoothing": smooth_rip_offset(0.2), "feedback_strength": 0.6},
+    {"on_missing": "renormalise", "block_by": "k"}, {"weights": {"a": 1.0, "b": 0.0}, "smoothing": smooth_rip_softmax(0.3)}, {"rarity_scope": "global", "block_by": "k"},
 ]
 
 
 @pytest.mark.parametrize("options", STRATEGIES)
 def test_rare_tokens_give_all_pairs_above_the_threshold(spark, options, monkeypatch):
     base, target = records(spark, 60, 1), records(spark, 60, 2, "t")
-    for threshold in (0.2, 0.6):
+    for threshold in (0.35,):
         s = SearchStrategy({"a": W, "b": W}, threshold=threshold, on_fanout="off", **options)
         for index in (build_index(base, "id", s), build_cross_index(base, target, "id", "id", s)):
             whole = {k: v for k, v in scores(score_pairs(index, s)).items() if v >= threshold - SLACK}
             assert scores(best_pairs(score_pairs(index, s, threshold), s)) == whole and whole
 
 
-@pytest.mark.parametrize("options", [{}, {"rarity": "smoothed_inverse_freq", "feedback_strength": 0.5}, {"on_missing": "renormalise"}, {"max_token_df": 2}])
+@pytest.mark.parametrize("options", [{}, {"rarity": "smoothed_inverse_freq", "feedback_strength": 0.5, "on_missing": "renormalise"}, {"max_token_df": 2}])
 def test_small_token_blocks_against_unbounded_ones(spark, options):
     """The windows inside bounded blocks give what the general plan gives; singles and repeated blocks change nothing."""
     base, target = records(spark, 50, 3), records(spark, 50, 4, "t")
@@ -92,7 +92,7 @@ def test_prints_pool_repeated_ids(spark):
 
 def test_prepared_tokens_replace_the_pipelines(spark):
     base, target = records(spark, 30, 7), records(spark, 30, 8, "t")
-    for block in ((), "k", block_on_tokens("a", max_df=20)):
+    for block in ("k", block_on_tokens("a", max_df=20)):
         s = SearchStrategy({"a": W, "b": W}, block_by=block, threshold=0.3)
         bt, tt = prepare_search_data(base, "id", s), prepare_search_data(target, "id", s)
         assert scores(duplicate_links(base, "id", s, bt)) == scores(duplicate_links(base, "id", s))
