@@ -58,9 +58,13 @@ class BlockMaxIndex:
         self.terms, self.weights = terms.astype(np.int32), weights
         owner = np.repeat(np.arange(n, dtype=np.int32), sizes)
         # Examples whose heaviest term is the same share blocks, so that few blocks hold a query's best.
-        heavy = np.full(n, -1, np.int64)
-        by_weight = np.lexsort((-terms, weights))
-        heavy[owner[by_weight]] = terms[by_weight]
+        heavy = np.full(n, -1, np.int32)
+        if len(terms):
+            some = np.nonzero(sizes)[0]
+            most = np.zeros(n)
+            most[some] = np.maximum.reduceat(weights, (self.ends[:-1])[some])
+            top = np.nonzero(weights == np.repeat(most, sizes))[0][::-1]
+            heavy[owner[top]] = terms[top]
         self.order = np.lexsort((np.arange(n), heavy))
         place = np.empty(n, np.int32)
         place[self.order] = np.arange(n, dtype=np.int32)
@@ -72,10 +76,10 @@ class BlockMaxIndex:
         dense = self.column[terms] >= 0
         self.columns = np.zeros((len(often), self.n_blocks * block), np.float32)
         self.columns[self.column[terms[dense]], place[owner[dense]]] = weights[dense]
-        t, p, w = terms[~dense], place[owner[~dense]], weights[~dense].astype(np.float32)
-        by_term = np.lexsort((p, t))
-        self.places, self.short = p[by_term], w[by_term]
-        self.starts = np.searchsorted(t[by_term], np.arange(n_terms + 1))
+        rest = np.nonzero(~dense)[0]
+        rest = rest[np.argsort(terms[rest], kind="stable")]
+        self.places, self.short = place[owner[rest]], weights[rest].astype(np.float32)
+        self.starts = np.searchsorted(terms[rest], np.arange(n_terms + 1))
 
     def top(self, query: dict[int, float], k: int, skip: int = -1) -> list[tuple[float, int]]:
         """Up to k ``(cosine, example)`` with a positive cosine, best first; never example ``skip``."""
@@ -152,7 +156,7 @@ class ToxicityModel:
     ids: list = field(default_factory=list)
     toxic: np.ndarray = field(default_factory=lambda: np.zeros(0, bool))
     sizes: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    packed: bytes = b""  # terms and counts of all examples, one behind the other
+    coded: list = field(default_factory=list)  # each example's terms and counts, compressed
     calibration: np.ndarray = field(default_factory=lambda: np.zeros(4))
 
     @functools.cached_property
@@ -170,21 +174,10 @@ class ToxicityModel:
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k not in ("vocabulary", "index", "sent")}
 
-    def add_examples(self, ids: list, toxic: list, terms: list[np.ndarray], counts: list[np.ndarray]) -> None:
-        """Examples by their ascending terms, none without any; terms are kept as differences, compressed."""
-        self.ids, self.toxic, self.sizes = ids, np.array(toxic, bool), np.array([len(t) for t in terms], np.int64)
-        steps = np.concatenate([np.diff(t, prepend=0) for t in terms] or [np.zeros(0, np.int64)])
-        self.packed = zlib.compress(steps.astype("<u4").tobytes() + np.concatenate([*counts, np.zeros(0, np.int64)]).astype("<u4").tobytes(), 1)
-
     def unpack(self) -> tuple[np.ndarray, np.ndarray]:
-        if not len(self.sizes):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        both = np.frombuffer(zlib.decompress(self.packed), "<u4").astype(np.int64)
-        steps, counts = np.split(both, 2)
-        sums = np.cumsum(steps)
-        ends = np.cumsum(self.sizes)
-        before = np.concatenate([[0], sums[ends[:-1] - 1]]) if len(ends) else np.zeros(0, np.int64)
-        return sums - np.repeat(before, self.sizes), counts
+        both = [decode_counts(x) for x in self.coded]
+        none = np.zeros(0, np.int32)
+        return np.concatenate([*(t for t, _ in both), none]), np.concatenate([*(c for _, c in both), none])
 
     def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """The text's terms that are in the vocabulary, ascending, and how often each occurs."""
@@ -210,6 +203,16 @@ class ToxicityModel:
         return float(1.0 / (1.0 + np.exp(-(self.calibration[0] + features @ self.calibration[1:]))))
 
 
+def encode_counts(terms: np.ndarray, counts: np.ndarray) -> bytes:
+    """Ascending terms as differences, then their counts, compressed."""
+    return zlib.compress(np.diff(terms, prepend=0).astype("<i4").tobytes() + counts.astype("<i4").tobytes(), 1)
+
+
+def decode_counts(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    steps, counts = np.split(np.frombuffer(zlib.decompress(data), "<i4"), 2)
+    return np.cumsum(steps, dtype=np.int32), counts
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     """Ridge logistic regression by Newton steps; the intercept is free."""
     a = np.hstack([np.ones((len(x), 1)), x])
@@ -278,14 +281,12 @@ def fit_toxicity(docs: DataFrame, labelled: DataFrame, max_examples: int = 20_00
             yield pd.DataFrame({"term": [b" ".join(map(bytes, pdf["term"]))], "c": [pdf["c"].to_numpy("<i8").tobytes()], "p": [pdf["p"].to_numpy("<i8").tobytes()]})
 
     # as many words as max_bytes of text can hold
-    told = per_term.mapInPandas(listed, "term binary, c binary, p binary").collect()
-    words_of = [w for r in told for w in bytes(r["term"]).split()]
-    by_word = sorted(range(len(words_of)), key=words_of.__getitem__)
-    c, p = (np.frombuffer(b"".join(bytes(r[x]) for r in told), "<i8")[by_word].astype(float) for x in "cp")
-    names = [words_of[i] for i in by_word]
-    del told, words_of, by_word
-    n_names = len(names)
-    sent = spark.sparkContext.broadcast(ToxicityModel(b" ".join(names), np.zeros(0), k))
+    told = per_term.orderBy("term").mapInPandas(listed, "term binary, c binary, p binary").collect()
+    c, p = (np.frombuffer(b"".join(bytes(r[x]) for r in told), "<i8").astype(float) for x in "cp")
+    names = b" ".join(bytes(r["term"]) for r in told)
+    del told
+    n_names = len(c)
+    sent = spark.sparkContext.broadcast(ToxicityModel(names, np.zeros(0), k))
 
     def frequencies(batches):
         get, count, rows = sent.value.vocabulary.get, np.zeros(n_names, np.int64), 0
@@ -309,7 +310,7 @@ def fit_toxicity(docs: DataFrame, labelled: DataFrame, max_examples: int = 20_00
     linking = np.nonzero(in_docs >= 2)[0]
     g2 = _deviance(c, p, rate)
     weight = (np.log((1.0 + all_docs) / (1.0 + in_docs)) + 1.0) * (1.0 + boost * g2)
-    model = ToxicityModel(b" ".join(names[j] for j in linking.tolist()), weight[linking], k)
+    model = ToxicityModel(b" ".join(w for w, x in zip(names.split(), in_docs >= 2, strict=True) if x), weight[linking], k)
     sent.destroy()
     del names
     known = spark.sparkContext.broadcast(model)
@@ -318,18 +319,18 @@ def fit_toxicity(docs: DataFrame, labelled: DataFrame, max_examples: int = 20_00
         m = known.value
         for pdf in batches:
             found = [m.counts(text) for text in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "label": pdf["label"], "t": [t.astype("<u4").tobytes() for t, _ in found], "c": [c.astype("<u4").tobytes() for _, c in found]})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "label": pdf["label"], "n": [len(t) for t, _ in found], "x": [encode_counts(t, c) for t, c in found]})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    coded = stash(texts.mapInPandas(coded_rows, f"doc_id {kind}, label int, t binary, c binary"))
+    coded = stash(texts.mapInPandas(coded_rows, f"doc_id {kind}, label int, n int, x binary"))
     known.destroy()
-    rows = coded.orderBy("doc_id", "t").collect()  # the examples, eight bytes a word
+    rows = coded.collect()  # the examples, a few bytes a word
     if not rows:
         model.calibration = np.array([np.log(0.01 / 0.99), 0.0, 0.0, 0.0])
         return model
-    some = [r for r in rows if r["t"]]
-    numbers = lambda name: [np.frombuffer(bytes(r[name]), "<u4").astype(np.int64) for r in some]
-    model.add_examples([r["doc_id"] for r in some], [r["label"] for r in some], numbers("t"), numbers("c"))
+    some = sorted((r for r in rows if r["n"]), key=lambda r: (r["doc_id"], bytes(r["x"])))
+    model.ids, model.toxic = [r["doc_id"] for r in some], np.array([r["label"] for r in some], bool)
+    model.sizes, model.coded = np.array([r["n"] for r in some], np.int64), [bytes(r["x"]) for r in some]
     del rows, some
     model.sent = known = spark.sparkContext.broadcast(model)
 
@@ -337,13 +338,12 @@ def fit_toxicity(docs: DataFrame, labelled: DataFrame, max_examples: int = 20_00
         m = known.value
         place = {x: i for i, x in enumerate(m.ids)}
         for pdf in batches:
-            terms = [np.frombuffer(t, "<u4").astype(np.int64) for t in pdf["t"]]
-            queries = [(t, m.vector(t, np.frombuffer(c, "<u4"))) for t, c in zip(terms, pdf["c"], strict=True)]
+            queries = [(t, m.vector(t, c)) for t, c in map(decode_counts, pdf["x"])]
             f = [v for v, _ in m.votes(queries, [place.get(i, -1) for i in pdf["doc_id"]])]
             yield pd.DataFrame(np.array(f).reshape(-1, 3), columns=["a", "b", "c"]).assign(y=pdf["label"].to_numpy(float))
 
-    votes = coded.mapInPandas(own_votes, "a double, b double, c double, y double").orderBy("a", "b", "c", "y").collect()
-    votes = np.array(votes, float)
+    votes = coded.mapInPandas(own_votes, "a double, b double, c double, y double").collect()
+    votes = np.array(sorted(map(tuple, votes)), float)
     for scratch in (texts, coded):
         free(scratch)
     model.calibration = _logistic(votes[:, :3], votes[:, 3])
@@ -360,12 +360,15 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, evidence: int = 3) ->
         m = sent.value
         m.calibration = calibration
         scores, ids = [], []
-        for a in range(0, len(texts), 256):
-            known = [m.counts(t) for t in texts.iloc[a : a + 256]]
+        seen: dict = {}  # equal texts of a batch are scored once
+        which = [seen.setdefault(t, len(seen)) for t in texts]
+        each = list(seen)
+        for a in range(0, len(each), 256):
+            known = [m.counts(t) for t in each[a : a + 256]]
             for features, near in m.votes([(t, m.vector(t, c)) for t, c in known]):
                 scores.append(m.score(features))
                 ids.append([str(m.ids[i]) for i in near[:evidence]])
-        return pd.DataFrame({"score": scores, "evidence": ids})
+        return pd.DataFrame({"score": [scores[i] for i in which], "evidence": [ids[i] for i in which]})
 
     return udf(F.col("text"))
 
