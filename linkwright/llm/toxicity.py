@@ -36,7 +36,7 @@ class BlockMaxIndex:
     """
 
     #: A column's product has at most ``COMMON`` terms of unit vectors: the error of short floats stays below this.
-    COMMON, ERROR, BATCH = 512, 1e-4, 64
+    COMMON, ERROR, BATCH = 512, 1e-4, 256
 
     def __init__(self, vectors: list[dict[int, float]], n_terms: int, block: int = 64, common: int = COMMON):
         sizes = np.array([len(v) for v in vectors], np.int64)
@@ -363,8 +363,8 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, evidence: int = 3) ->
         seen: dict = {}  # equal texts of a batch are scored once
         which = [seen.setdefault(t, len(seen)) for t in texts]
         each = list(seen)
-        for a in range(0, len(each), 256):
-            known = [m.counts(t) for t in each[a : a + 256]]
+        for a in range(0, len(each), 1024):
+            known = [m.counts(t) for t in each[a : a + 1024]]
             for features, near in m.votes([(t, m.vector(t, c)) for t, c in known]):
                 scores.append(m.score(features))
                 ids.append([str(m.ids[i]) for i in near[:evidence]])
