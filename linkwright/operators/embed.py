@@ -125,5 +125,6 @@ def cosine_pairs(left: DataFrame, right: DataFrame | None, threshold: float | No
 
 
 def score_embeddings(base: DataFrame, target: DataFrame, strategy: EmbeddingStrategy) -> DataFrame:
-    """All pairs' cosines, without a threshold: ``lhs_id, rhs_id, score``; both tables from ``compute_embeddings``."""
+    """All pairs' cosines, without a threshold: ``lhs_id, rhs_id, score``; both tables, which may be one, from ``compute_embeddings``."""
+    target = target.select(*[F.col(c).alias(c) for c in target.columns])
     return cosine_pairs(base, target, None, strategy.block_rows, strategy.normalize)

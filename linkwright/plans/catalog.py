@@ -415,7 +415,7 @@ def q_containment_bidirectional(spark, sf_dir):
 
 def sql_staged_dedup() -> str:
     """Stage one on the whole table, stage two on its representatives and the rest, then one resolution over both ledgers."""
-    ledger = "SELECT r.id AS lhs_id, g.id AS rhs_id, g.score, '{s}' AS stage FROM {g} g JOIN {g} r USING (duplicate_group) WHERE r.rank = 1 AND g.rank > 1"
+    ledger = "SELECT r.id AS lhs_id, g.id AS rhs_id, g.score::DOUBLE AS score, '{s}' AS stage FROM {g} g JOIN {g} r USING (duplicate_group) WHERE r.rank = 1 AND g.rank > 1"
     near = sql_pairs(sql_bag("left_over", "doc_id", ["text"], "lang"), _DOCS, False)
     return f"""
 WITH RECURSIVE one AS (WITH RECURSIVE {sql_groups(_EXACT_PAIRS)} SELECT * FROM groups),
@@ -459,7 +459,8 @@ FROM embeddings a, embeddings b""")
 def q_score_embeddings(spark, sf_dir):
     e = read(spark, sf_dir, "embeddings")
     s = EmbeddingStrategy("embedding")
-    return score_embeddings(compute_embeddings(e, "vec_id", s), compute_embeddings(e, "vec_id", s), s).withColumn("score", F.round("score", 4) + F.lit(0.0))
+    raw = compute_embeddings(e, "vec_id", replace(s, normalize=False))  # the scores divide by the norms, in doubles
+    return score_embeddings(raw, raw, s).withColumn("score", F.round("score", 4) + F.lit(0.0))
 
 
 # --- diagnostics -------------------------------------------------------------------------------------
