@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkwright.llm.common import with_new
+from linkwright.plans.runtime import stash
 
 __all__ = ["encode_passages", "GatedAttention", "fit_quality", "quality_documents"]
 
@@ -134,9 +135,10 @@ def fit_quality(docs: DataFrame, labelled: DataFrame, max_docs: int = 4_000, max
     """
     per_id = labelled.where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
     chosen = per_id.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
-    texts = docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", "text", "label")
+    # at most max_docs ids: bounded, whatever the table
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
     texts = texts.withColumn("_n", F.greatest(F.lit(1), F.ceil(F.coalesce(F.octet_length("text"), F.lit(0)) / PASSAGE)))
-    texts = texts.where(F.col("_n") <= max_passages // 8).withColumn("_k", F.xxhash64("doc_id"))
+    texts = stash(texts.where(F.col("_n") <= max_passages // 8).withColumn("_k", F.xxhash64("doc_id")))
     # at most as many rows as documents are chosen, or few more where ids repeat
     sums = texts.groupBy("_k", "doc_id").agg(F.sum("_n").alias("_n")).withColumn("_c", F.sum("_n").over(Window.orderBy("_k", "doc_id")))
     texts = texts.join(sums.where(F.col("_c") <= max_passages).select("doc_id"), "doc_id", "left_semi").select("doc_id", "text", "label")
