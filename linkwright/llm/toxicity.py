@@ -25,6 +25,17 @@ def text_terms(text: str | None) -> list[bytes]:
     return text.lower().encode("utf-8", "replace").translate(_SPACED).split() if text else []
 
 
+def pieces(sizes: np.ndarray, step: int = 1024):
+    """Runs of vectors that lie one behind the other: first, last, where they lie, where each starts in there, their sizes.
+
+    What is computed for all examples goes through in such runs, so that it takes little room. No vector may be empty.
+    """
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    for a in range(0, len(sizes), step):
+        b = min(len(sizes), a + step)
+        yield a, b, slice(int(ends[a]), int(ends[b])), ends[a:b] - ends[a], sizes[a:b]
+
+
 class BlockMaxIndex:
     """Examples in blocks; postings of most terms, the commonest terms as columns.
 
@@ -59,12 +70,10 @@ class BlockMaxIndex:
         owner = np.repeat(np.arange(n, dtype=np.int32), sizes)
         # Examples whose heaviest term is the same share blocks, so that few blocks hold a query's best.
         heavy = np.full(n, -1, np.int32)
-        if len(terms):
-            some = np.nonzero(sizes)[0]
-            most = np.zeros(n)
-            most[some] = np.maximum.reduceat(weights, (self.ends[:-1])[some])
-            top = np.nonzero(weights == np.repeat(most, sizes))[0][::-1]
-            heavy[owner[top]] = terms[top]
+        for first, last, at, starts, own in pieces(sizes):
+            w = weights[at]
+            top = np.nonzero(w == np.repeat(np.maximum.reduceat(w, starts), own))[0][::-1]
+            heavy[first + np.searchsorted(starts, top, side="right") - 1] = terms[at][top]
         self.order = np.lexsort((np.arange(n), heavy))
         place = np.empty(n, np.int32)
         place[self.order] = np.arange(n, dtype=np.int32)
@@ -166,10 +175,12 @@ class ToxicityModel:
     @functools.cached_property
     def index(self) -> BlockMaxIndex:
         terms, counts = self.unpack()
-        v = (1.0 + np.log(counts)) * self.weight[terms]
-        ends = np.cumsum(self.sizes)
-        norms = np.sqrt(np.add.reduceat(v * v, ends - self.sizes)) if len(v) else np.zeros(0)
-        return BlockMaxIndex.of_arrays(self.sizes, terms, v / np.repeat(norms, self.sizes), max(1, len(self.weight)))
+        weights = np.empty(len(terms))
+        for _, _, at, starts, sizes in pieces(self.sizes):
+            v = (1.0 + np.log(counts[at])) * self.weight[terms[at]]
+            weights[at] = v / np.repeat(np.sqrt(np.add.reduceat(v * v, starts)), sizes)
+        del counts
+        return BlockMaxIndex.of_arrays(self.sizes, terms, weights, max(1, len(self.weight)))
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k not in ("vocabulary", "index", "sent")}
