@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkwright.llm.common import fold, table
+from linkwright.llm.common import fold, table, with_new
 from linkwright.llm.mixing import mix_sources
 from linkwright.llm.packing import pack_documents
 from linkwright.llm.pii import pseudonymise_documents
@@ -38,8 +38,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every row stays, its personal data replaced, ``n_chars`` counted anew; a null text stays null."""
-    out = pseudonymise_documents(docs).drop("pii").select(*docs.columns)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    out = pseudonymise_documents(docs.select(F.struct("*").alias("row"), "text"))
+    new = {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return with_new(out, docs.columns, new)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
