@@ -68,6 +68,7 @@ def test_empty_and_odd_tables(spark, tmp_path):
             now = run(spark, now, sf)
             assert now.columns == docs.columns, stage
         packed = corpus_pipeline.run(spark, sf).collect()
-        # the rows without words are one near-duplicate group, whose least id is 1; the three equal rows are one
-        assert {r["doc_id"] for r in packed} == (set() if not rows else {1, 3, 4})
+        # the rows without words are one near-duplicate group, whose least id is 1; the three equal rows are one;
+        # the long text is nearly all words there are, and what is repeated of the others leaves the mix no room for it
+        assert {r["doc_id"] for r in packed} == (set() if not rows else {1, 4})
         assert sum(r["bin_id"] is None for r in packed) == (1 if rows else 0)
