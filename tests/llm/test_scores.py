@@ -350,3 +350,18 @@ def test_classes_follow_from_input_ids():
     lex = lexicon()
     ids, classes = lex.codes([*lex.head, "xa", "xab", "zz", "Q9"])
     assert np.array_equal(lex.with_classes(ids.astype("<u2")), np.stack([ids, classes], axis=1))
+
+
+def test_blocks_hold_tokens_so_that_texts_are_read_once():
+    import pandas as pd
+
+    texts = [*ODD, "A b c a", "a\tb \u001f ẞ", ""]
+    pdf = pd.DataFrame({"doc_id": range(len(texts)), "text": texts, "train": [i % 3 > 0 for i in range(len(texts))]})
+    (block,) = list(lm._blocks([pdf.iloc[:2], pdf.iloc[2:]]))
+    docs, names, at = lm._open_block(block["docs"][0])
+    want = [[w.decode() for w in lm.words_of(t)] + [lm.END] for t in texts]
+    assert [list(np.array(names, object)[x]) for x in np.split(at, np.cumsum(docs["size"])[:-1])] == want
+    (counts,) = list(lm._block_counts([block]))
+    learnt = Counter(w for i, own in enumerate(want) if i % 3 for w in own)
+    assert dict(zip(counts["token"], counts["n"], strict=True)) == {w: learnt[w] for own in want for w in own}
+    assert counts["place"].tolist() == list(range(len(names)))
