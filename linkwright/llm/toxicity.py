@@ -9,6 +9,8 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,9 +22,46 @@ __all__ = ["text_terms", "BlockMaxIndex", "ToxicityModel", "fit_toxicity", "scor
 _SPACED = bytes(32 if chr(i) in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" or i < 32 else i for i in range(256))
 
 
+def _spaced(text: str | None) -> bytes:
+    return text.lower().encode("utf-8", "replace").translate(_SPACED) if text else b""
+
+
 def text_terms(text: str | None) -> list[bytes]:
     """The text's words, repeats included: lower case, UTF-8, ASCII punctuation and controls taken as blanks."""
-    return text.lower().encode("utf-8", "replace").translate(_SPACED).split() if text else []
+    return _spaced(text).split()
+
+
+def text_pieces(texts: list, most: int = 2048, size: int = 1 << 23):
+    """Runs of at most ``most`` texts and some MB, as lists; a longer text is a run of its own."""
+    run, held = [], 0
+    for t in texts:
+        n = len(t or "")
+        if run and (len(run) == most or held + n > size):
+            yield run
+            run, held = [], 0
+        run.append(t)
+        held += n
+    if run:
+        yield run
+
+
+def count_terms(texts: list, vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The vocabulary's terms of each text, ascending, one text behind the other, how often each occurs, and where each text starts.
+
+    The texts' words are told apart together, so that each is looked up once.
+    """
+    lists = pc.ascii_split_whitespace(pa.array([_spaced(t) for t in texts], pa.large_string()))
+    words = lists.flatten().cast(pa.large_binary()).dictionary_encode()
+    # blanks that begin or end a text give an empty word, which no vocabulary holds
+    ids = pc.index_in(words.dictionary, value_set=vocabulary).fill_null(-1).to_numpy().astype(np.int64)[words.indices.to_numpy()]
+    known = ids >= 0
+    ids = (ids + np.repeat(np.arange(len(texts)) << 32, np.diff(lists.offsets.to_numpy())))[known]
+    del lists, words
+    pa.default_memory_pool().release_unused()
+    ids.sort()
+    first = np.flatnonzero(np.diff(ids, prepend=-1))
+    own = ids[first]
+    return own & 0xFFFFFFFF, np.diff(first, append=len(ids)), np.searchsorted(own, np.arange(len(texts)) << 32)
 
 
 def pieces(sizes: np.ndarray, step: int = 1024):
@@ -36,6 +75,13 @@ def pieces(sizes: np.ndarray, step: int = 1024):
         yield a, b, slice(int(ends[a]), int(ends[b])), ends[a:b] - ends[a], sizes[a:b]
 
 
+def runs(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers from each ``first`` to before its ``last``, one run behind the other, and the runs' sizes."""
+    sizes = last - first
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - ends + sizes, sizes), sizes
+
+
 class BlockMaxIndex:
     """Examples in blocks; postings of most terms, the commonest terms as columns.
 
@@ -87,7 +133,9 @@ class BlockMaxIndex:
         self.columns[self.column[terms[dense]], place[owner[dense]]] = weights[dense]
         rest = np.nonzero(~dense)[0]
         rest = rest[np.argsort(terms[rest], kind="stable")]
-        self.places, self.short = place[owner[rest]], weights[rest].astype(np.float32)
+        # place and weight (a short float's bits) side by side, so that a posting is fetched at once
+        self.postings = np.empty((len(rest), 2), np.int32)
+        self.postings[:, 0], self.postings[:, 1] = place[owner[rest]], weights[rest].astype(np.float32).view(np.int32)
         self.starts = np.searchsorted(terms[rest], np.arange(n_terms + 1))
 
     def top(self, query: dict[int, float], k: int, skip: int = -1) -> list[tuple[float, int]]:
@@ -118,10 +166,10 @@ class BlockMaxIndex:
         some = last > first
         first, last, weight = first[some], last[some], q[rare][some]
         if len(first):
-            at = [slice(x, y) for x, y in zip(first.tolist(), last.tolist(), strict=True)]
-            places, short = np.concatenate([self.places[x] for x in at]), np.concatenate([self.short[x] for x in at])
-            short *= np.repeat(weight.astype(np.float32), last - first)
-            sums = sums + np.bincount(places, short, len(sums)).astype(np.float32)
+            at, sizes = runs(first, last)
+            found = self.postings.view(np.int64)[at].view(np.int32)
+            short = found[:, 1].view(np.float32) * np.repeat(weight.astype(np.float32), sizes)
+            sums = sums + np.bincount(found[:, 0], short, len(sums)).astype(np.float32)
         blocks = sums.reshape(self.n_blocks, self.block)
         most = blocks.max(axis=1)
         # one more than k, as one may be skipped
@@ -144,10 +192,9 @@ class BlockMaxIndex:
         if not hasattr(self, "query"):
             self.query = np.zeros(self.n_terms)
         self.query[terms] = q
-        parts = [slice(self.ends[i], self.ends[i + 1]) for i in ids.tolist()]
-        products = self.query[np.concatenate([self.terms[x] for x in parts])] * np.concatenate([self.weights[x] for x in parts])
+        at, sizes = runs(self.ends[ids], self.ends[ids + 1])
+        products = self.query[self.terms[at]] * self.weights[at]
         self.query[terms] = 0.0
-        sizes = self.ends[ids + 1] - self.ends[ids]
         return np.round(np.add.reduceat(products, np.cumsum(sizes) - sizes), 12)
 
 
@@ -169,8 +216,9 @@ class ToxicityModel:
     calibration: np.ndarray = field(default_factory=lambda: np.zeros(4))
 
     @functools.cached_property
-    def vocabulary(self) -> dict[bytes, int]:
-        return {w: i for i, w in enumerate(self.words.split())}
+    def vocabulary(self) -> pa.Array:
+        words = pc.ascii_split_whitespace(pa.array([self.words] if self.words else [], pa.large_string()))
+        return words.flatten().cast(pa.large_binary())
 
     @functools.cached_property
     def index(self) -> BlockMaxIndex:
@@ -190,11 +238,10 @@ class ToxicityModel:
         none = np.zeros(0, np.int32)
         return np.concatenate([*(t for t, _ in both), none]), np.concatenate([*(c for _, c in both), none])
 
-    def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """The text's terms that are in the vocabulary, ascending, and how often each occurs."""
-        get = self.vocabulary.get
-        found = np.array([get(w, -1) for w in text_terms(text)], np.int64)
-        return np.unique(found[found >= 0], return_counts=True)
+    def counts(self, texts: list) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Each text's terms that are in the vocabulary, ascending, and how often each occurs."""
+        terms, counts, starts = count_terms(texts, self.vocabulary)
+        return list(zip(np.split(terms, starts[1:]), np.split(counts, starts[1:]), strict=True))
 
     def vector(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
         v = (1.0 + np.log(counts)) * self.weight[terms]
@@ -300,12 +347,11 @@ def fit_toxicity(docs: DataFrame, labelled: DataFrame, max_examples: int = 20_00
     sent = spark.sparkContext.broadcast(ToxicityModel(names, np.zeros(0), k))
 
     def frequencies(batches):
-        get, count, rows = sent.value.vocabulary.get, np.zeros(n_names, np.int64), 0
+        words, count, rows = sent.value.vocabulary, np.zeros(n_names, np.int64), 0
         for pdf in batches:
             rows += len(pdf)
-            for t in pdf["text"]:
-                found = [i for w in set(text_terms(t)) if (i := get(w)) is not None]
-                count[found] += 1
+            for texts in text_pieces(pdf["text"]):
+                np.add.at(count, count_terms(texts, words)[0], 1)
         some = np.nonzero(count)[0]
         yield pd.DataFrame({"term": np.append(some, -1), "n": np.append(count[some], rows)})
 
@@ -329,7 +375,7 @@ def fit_toxicity(docs: DataFrame, labelled: DataFrame, max_examples: int = 20_00
     def coded_rows(batches):
         m = known.value
         for pdf in batches:
-            found = [m.counts(text) for text in pdf["text"]]
+            found = [x for texts in text_pieces(pdf["text"]) for x in m.counts(texts)]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "label": pdf["label"], "n": [len(t) for t, _ in found], "x": [encode_counts(t, c) for t, c in found]})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -370,13 +416,12 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, evidence: int = 3) ->
     def udf(texts: pd.Series) -> pd.DataFrame:
         m = sent.value
         m.calibration = calibration
+        m.index  # noqa: B018  (built before there are counts, which take room beside it)
         scores, ids = [], []
         seen: dict = {}  # equal texts of a batch are scored once
         which = [seen.setdefault(t, len(seen)) for t in texts]
-        each = list(seen)
-        for a in range(0, len(each), 1024):
-            known = [m.counts(t) for t in each[a : a + 1024]]
-            for features, near in m.votes([(t, m.vector(t, c)) for t, c in known]):
+        for each in text_pieces(list(seen)):
+            for features, near in m.votes([(t, m.vector(t, c)) for t, c in m.counts(each)]):
                 scores.append(m.score(features))
                 ids.append([str(m.ids[i]) for i in near[:evidence]])
         return pd.DataFrame({"score": [scores[i] for i in which], "evidence": [ids[i] for i in which]})

@@ -365,3 +365,28 @@ def test_blocks_hold_tokens_so_that_texts_are_read_once():
     learnt = Counter(w for i, own in enumerate(want) if i % 3 for w in own)
     assert dict(zip(counts["token"], counts["n"], strict=True)) == {w: learnt[w] for own in want for w in own}
     assert counts["place"].tolist() == list(range(len(names)))
+
+
+def test_postings_are_fetched_in_runs():
+    first, last = np.array([4, 9, 9, 0]), np.array([6, 9, 12, 1])
+    at, sizes = tox.runs(first, last)
+    assert at.tolist() == [4, 5, 9, 10, 11, 0] and sizes.tolist() == [2, 0, 3, 1]
+    assert tox.runs(first[:0], last[:0])[0].tolist() == [] and tox.runs(first[1:2], last[1:2])[0].tolist() == []
+    index = tox.BlockMaxIndex([{0: 0.6, 2: 0.8}, {1: 1.0}, {2: 1.0}], 4, block=2)
+    place, short = index.postings[:, 0], index.postings[:, 1].view(np.float32)
+    assert sorted(zip(index.order[place].tolist(), short.round(6).tolist(), strict=True)) == sorted([(0, np.float32(0.6).round(6)), (0, np.float32(0.8).round(6)), (1, 1.0), (2, 1.0)])
+    assert index.top({2: 1.0}, 3) == [(1.0, 2), (0.8, 0)] and index.top({3: 1.0}, 3) == []
+
+
+def test_terms_of_many_texts_at_once():
+    import pyarrow as pa
+
+    words = sorted({w for t in ODD for w in tox.text_terms(t)} | {b"the", b"a"})[::-1]
+    texts = [*ODD, "the A the, zz", " the the ", " the\x1cthe\x85", "\ud800 the", " the ", None, "."]
+    got = tox.ToxicityModel(b" ".join(words), np.zeros(0), 3).counts(texts)
+    for text, (terms, counts) in zip(texts, got, strict=True):
+        own = Counter(w for w in tox.text_terms(text) if w in words)
+        assert {words[i]: c for i, c in zip(terms.tolist(), counts.tolist(), strict=True)} == own and terms.tolist() == sorted(terms.tolist())
+    assert [len(t) for t, _ in tox.ToxicityModel(b"", np.zeros(0), 3).counts(["a b", None])] == [0, 0]
+    long = ["x" * n for n in (3, 9, 1, 1, 1, 30, 2)] + [None, ""]
+    assert [len(p) for p in tox.text_pieces(long, most=3, size=12)] == [2, 3, 1, 3] and sum(tox.text_pieces(long, 3, 12), []) == long
