@@ -390,3 +390,67 @@ def test_terms_of_many_texts_at_once():
     assert [len(t) for t, _ in tox.ToxicityModel(b"", np.zeros(0), 3).counts(["a b", None])] == [0, 0]
     long = ["x" * n for n in (3, 9, 1, 1, 1, 30, 2)] + [None, ""]
     assert [len(p) for p in tox.text_pieces(long, most=3, size=12)] == [2, 3, 1, 3] and sum(tox.text_pieces(long, 3, 12), []) == long
+
+
+def test_language_model_looks_up_and_splits_many_words_at_once(monkeypatch):
+    import pandas as pd
+
+    from linkwright.llm.common import words_of
+
+    class Whole(dict):
+        def get(self, *_):
+            raise AssertionError("one word at a time")
+
+    monkeypatch.setattr(lm, "words_of", Whole().get)
+    tokens = [" ", "the", "xa", "xab", "x", "xé", "éa", "éx{", "日本語", "Q9", "a`", "a\x7f", "a\x80", "the|", "\ud800", "\x00"]
+    head, shapes = ["the", " "], ["xa|", "éa|", "日本|", "Q9|9", "a`|`", "a\x7f|\x7f", "a\x80|", "th||", "\ud800|"]
+    for heads, kinds in ((head, shapes), (head, []), ([], shapes), ([], [])):
+        lex = lm.Lexicon(Whole(zip(heads, range(9))), 1, np.ones(len(heads)), Whole(zip(kinds, range(9))), np.ones(len(kinds) + 1), np.ones(len(kinds) + 1), 1, 1)
+        keys = [t[:2] + "|" + (t[-1] if t[-1] <= "\x7f" and not "a" <= t[-1] <= "z" else "") for t in tokens]
+        want = [heads.index(t) if t in heads else len(heads) + (kinds.index(s) if s in kinds else len(kinds)) for t, s in zip(tokens, keys, strict=True)]
+        ids, classes = lex.codes(tokens)
+        assert ids.tolist() == want and [c - lex.head_classes + len(heads) for c, i in zip(classes.tolist(), want, strict=True) if i >= len(heads)] == [i for i in want if i >= len(heads)]
+        assert [len(x) for x in lex.codes([])] == [0, 0]
+    texts = [*ODD, "\ud800 A\x1ca", "a\x0b\x0cB\r\x85 \xa0ẞ", "\u2003 İ K"]
+    docs, names, at = lm._open_block(lm._pack_block(pd.DataFrame({"doc_id": range(len(texts)), "text": texts, "train": True})))
+    want = [[w.decode("utf-8", "surrogatepass") for w in words_of(t)] + [lm.END] for t in texts]
+    assert docs["size"].tolist() == [len(w) for w in want] and [names[i] for i in at] == sum(want, [])
+
+
+def test_language_model_with_large_weights():
+    """Powers of e beyond what floats hold: probabilities by plain sums in logs, gradients by differences, one long window by score."""
+    lex, r = lexicon(), np.random.default_rng(3)
+    net = lm.GRU(lex, hidden=5, embed=4)
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    net.p["Wc"], net.p["Wo"] = r.normal(0, 400, net.p["Wc"].shape), r.normal(0, 400, net.p["Wo"].shape)
+    ids, classes = (x.reshape(2, 20) for x in lex.codes([r.choice([*lex.head, "xa", "zz"]) for _ in range(40)]))
+    before = np.concatenate([np.zeros((2, 1), int), ids[:, :-1]], axis=1)
+    h0 = r.uniform(-1, 1, (2, 5))
+
+    def loss():
+        h, total = h0, 0.0
+        for t in range(20):
+            h = net.step(net.p["E"][before[:, t]] @ net.p["Wx"] + net.p["b"], h * (before[:, t] != 0)[:, None])[0]
+            for x, y, i in zip(h, classes[:, t], ids[:, t], strict=True):
+                z = x @ net.p["Wc"] + net.p["bc"]
+                own = z[y] - np.logaddexp.reduce(z)
+                if i < 5:
+                    z = x @ net.p["Wo"][y] + net.p["bo"][y]
+                    own += z[i % 2] - np.logaddexp.reduce(z)
+                assert abs(net.log_probs(x[None], np.array([y]), np.array([i if i < 5 else -1]))[0] - own) < 1e-6 * abs(own) + 1e-6
+                total -= own
+        return total / 40
+
+    _, grads = net._window(before, ids, classes, h0, 0)
+    for k in net.p:
+        for at in {tuple(0 for _ in net.p[k].shape), tuple(min(1, s - 1) for s in net.p[k].shape)}:
+            old, wide = net.p[k][at], 1e-6
+            net.p[k][at] = old + wide
+            up = loss()
+            net.p[k][at] = old - wide
+            down = loss()
+            net.p[k][at] = old
+            assert (up - down) / 2 / wide == pytest.approx(grads[k][at], rel=1e-3, abs=1e-5), (k, at)
+    docs = [np.stack([i, c], axis=1) for i, c in zip(ids, classes, strict=True)]
+    h0 = np.zeros((2, 5))
+    assert net.score(docs, lex, window=3).sum() == pytest.approx(-loss() * 40, rel=1e-4)
