@@ -1,10 +1,25 @@
-"""What a cap keeps."""
+"""Pairs scored tile against tile, and what the search need not read."""
 
 import pytest
+from pyspark.sql import functions as F
 
+from linkwright.operators import embed, index, tiles
+from linkwright.operators.index import build_cross_index, build_index
+from linkwright.operators.score import SLACK, best_pairs, score_pairs
 from linkwright.operators.verbs import duplicate_links
-from linkwright.plans.strategy import SearchStrategy
-from tests.test_plans import W
+from linkwright.plans.strategy import EmbeddingStrategy, SearchStrategy
+from tests.test_plans import W, records, scores
+
+
+def test_many_tiles_and_pieces_give_all_pairs(spark, monkeypatch):
+    """Blocks cut in tiles on either side, pairs given out in pieces of a few."""
+    for name, x in (("TILE", 40), ("CELL", 20), ("FEW", 8), ("PIECE", 3)):
+        monkeypatch.setattr(tiles, name, x)
+    base, target = records(spark, 60, 11), records(spark, 40, 12, "t")
+    s = SearchStrategy({"a": W, "b": W}, block_by="k", threshold=0.35, on_fanout="off", feedback_strength=0.4)
+    for i in (build_index(base, "id", s), build_cross_index(base, target, "id", "id", s)):
+        whole = {k: v for k, v in scores(score_pairs(i, s)).items() if v >= 0.35 - SLACK}
+        assert scores(best_pairs(score_pairs(i, s, 0.35), s)) == whole and whole
 
 
 def test_a_cap_below_every_token_pairs_nothing(spark):
@@ -12,3 +27,18 @@ def test_a_cap_below_every_token_pairs_nothing(spark):
     df = spark.createDataFrame([("1", "x y"), ("2", "x y")], "id string, n string")
     with pytest.warns(UserWarning, match="left out"):
         assert duplicate_links(df, "id", SearchStrategy({"n": W}, threshold=0.1, max_fanout=1)).count() == 0
+
+
+def test_ties_of_best_candidates_do_not_hang_on_the_order_of_sums(spark):
+    pairs = spark.createDataFrame([("l", "a", 0.3), ("l", "b", 0.1 + 0.2)], "lhs_id string, rhs_id string, score double")
+    got = best_pairs(pairs, SearchStrategy({"n": W}, threshold=0.1, max_candidates=1))
+    assert [r["rhs_id"] for r in got.collect()] == ["a"]
+
+
+def test_cosines_are_given_out_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(embed, "PIECE", 5)
+    df = spark.range(9).select(F.col("id").cast("string"), F.lit("").alias("block"), F.array(F.col("id").cast("float"), F.lit(1.0).cast("float")).alias("embedding"))
+    assert embed.score_embeddings(df, df, EmbeddingStrategy("embedding", block_rows=4)).count() == 81
+    links = embed.cosine_pairs(df, None, 0.9, 4)
+    assert all(r["lhs_id"] < r["rhs_id"] for r in links.collect()) and links.count() > 3
+    assert "FlatMapGroupsInArrow" in links._jdf.queryExecution().executedPlan().toString()
