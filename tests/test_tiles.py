@@ -35,6 +35,18 @@ def test_ties_of_best_candidates_do_not_hang_on_the_order_of_sums(spark):
     assert [r["rhs_id"] for r in got.collect()] == ["a"]
 
 
+@pytest.mark.parametrize("options", [{}, {"rarity": "bm25"}, {"rarity_scope": "global", "block_by": "k"}])
+def test_a_target_is_read_for_the_words_of_the_base(spark, options, monkeypatch):
+    base, target = records(spark, 12, 13), records(spark, 60, 14, "t")
+    s = SearchStrategy({"a": W}, threshold=0.2, on_fanout="off", **options)
+    few = build_cross_index(base, target, "id", "id", s)
+    words = {r["token"] for r in few.sets.where("side = 'base'").select("token").collect()}
+    assert {r["token"] for r in few.sets.where("side = 'target'").select("token").collect()} <= words
+    got = scores(best_pairs(score_pairs(few, s, 0.2), s))
+    monkeypatch.setattr(index, "FEW_WORDS", 0)
+    assert got == scores(best_pairs(score_pairs(build_cross_index(base, target, "id", "id", s), s), s)) and got
+
+
 def test_cosines_are_given_out_in_pieces(spark, monkeypatch):
     monkeypatch.setattr(embed, "PIECE", 5)
     df = spark.range(9).select(F.col("id").cast("string"), F.lit("").alias("block"), F.array(F.col("id").cast("float"), F.lit(1.0).cast("float")).alias("embedding"))
