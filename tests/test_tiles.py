@@ -3,11 +3,11 @@
 import pytest
 from pyspark.sql import functions as F
 
-from linkwright.operators import embed, index, tiles
+from linkwright.operators import embed, exact, index, tiles
 from linkwright.operators.index import build_cross_index, build_index
 from linkwright.operators.score import SLACK, best_pairs, score_pairs
 from linkwright.operators.verbs import duplicate_links
-from linkwright.plans.strategy import EmbeddingStrategy, SearchStrategy
+from linkwright.plans.strategy import EmbeddingStrategy, ExactStrategy, SearchStrategy
 from tests.test_plans import W, records, scores
 
 
@@ -54,3 +54,21 @@ def test_cosines_are_given_out_in_pieces(spark, monkeypatch):
     links = embed.cosine_pairs(df, None, 0.9, 4)
     assert all(r["lhs_id"] < r["rhs_id"] for r in links.collect()) and links.count() > 3
     assert "FlatMapGroupsInArrow" in links._jdf.queryExecution().executedPlan().toString()
+
+
+def test_containment_with_few_words_and_with_all(spark, monkeypatch):
+    """The target is read for the base's words where its ids are single, and whole where they are not or words are many."""
+    base, target = records(spark, 50, 5), records(spark, 50, 6, "t")
+    twice = target.unionByName(target.limit(5).withColumn("a", F.lit("w1 w2")))
+    s = ExactStrategy({"a": W, "b": W}, "k", containment="bidirectional")
+    run = lambda t: sorted(map(tuple, exact.containment_pairs(base, "id", t, "id", s).collect()))
+    read = []
+    real = exact.stash
+    monkeypatch.setattr(exact, "stash", lambda df: read.append(real(df)) or read[-1])
+    few, single = run(target), len(read)
+    words = {r["token"] for r in read[0].select("token").collect()}
+    assert few and {r["token"] for r in read[-1].select("token").collect()} <= words
+    pooled = run(twice)
+    assert len(read) - single == single - 1  # no table of sizes
+    monkeypatch.setattr(index, "FEW_WORDS", 0)
+    assert few == run(target) and pooled == run(twice)
