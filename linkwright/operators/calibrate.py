@@ -96,6 +96,8 @@ def match_features(
     aip = stash(auxiliary_potential(r, r if target is None else token_registry(target, other_id, plain)))
     sets = lambda df, i: prepare_search_data(df, i, plain).select("id", "src_column", "token").distinct().join(aip, ["src_column", "token"], "left")
     keys = ["searched", "found", "match_id"]
+    matched = lambda df, i, side: df.join(pairs.select(F.col(side).alias("_in")).distinct(), id_text(df[i]) == F.col("_in"), "left_semi")
+    base, other = matched(base, id, "searched"), matched(other, other_id, "found")  # the records of the pairs: no other is tokenised or compared
     ps = pairs.select(*keys).join(sets(base, id).withColumnRenamed("id", "searched"), "searched")
     pf = pairs.select(*keys).join(sets(other, other_id).withColumnRenamed("id", "found"), "found")
     both = ps.select(*keys, "src_column", "token", F.col("aip").alias("_s")).join(pf.select(*keys, "src_column", "token", F.col("aip").alias("_f")), [*keys, "src_column", "token"], "full")
